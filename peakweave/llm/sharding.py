@@ -76,16 +76,10 @@ def boundaries(groups: DataFrame, shards: int) -> tuple[int, list[str]]:
         if not wanted:
             break
         refined, digits = {segments[i][0] for i in wanted}, digits + MORE_DIGITS
-        spans: list[list[str]] = []  # runs of neighbouring prefixes, so that the filter stays short
-        for i in sorted(set(wanted)):
-            if spans and segments[i - 1][0] == spans[-1][1]:
-                spans[-1][1] = segments[i][0]
-            else:
-                spans.append([segments[i][0], segments[i][0]])
         inside = F.lit(False)
-        for a, b in spans:
-            inside |= (F.col("digest") >= a) & (F.col("digest") < b + "g")
-        finer = [s for s in histogram(groups.where(inside), digits) if any(s[0].startswith(p) for p in {s[0][:n] for n in range(1, len(s[0]) + 1)} & refined)]
+        for n in sorted({len(p) for p in refined}):
+            inside |= F.substring("digest", 1, n).isin([p for p in refined if len(p) == n])
+        finer = histogram(groups.where(inside), digits)
         segments = sorted([s for s in segments if s[0] not in refined] + finer)
     atomic = [False] * len(segments)
     capacity = _smallest(segments, shards, atomic)
