@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakweave.llm import embedding_dedup, language, packing, quality, sharding, simhash
+from peakweave.llm import decontamination, embedding_dedup, language, packing, quality, sharding, simhash
 from peakweave.llm._shared import table
 
 
@@ -13,6 +13,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.minimax_shards(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op5_minimax_sharding, op6_quality_neighbours, op7_language_hierarchy, op9_differencing_packing, op10_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op4_benchmark_decontamination, op5_minimax_sharding, op6_quality_neighbours, op7_language_hierarchy, op9_differencing_packing, op10_simhash_near_dedup,)}
 
 ORACLE_SQL: dict[str, str] = {}
