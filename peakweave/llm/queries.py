@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakweave.llm import decontamination, embedding_dedup, language, packing, quality, sharding, simhash
+from peakweave.llm import decontamination, embedding_dedup, language, line_dedup, packing, quality, sharding, simhash
 from peakweave.llm._shared import table
 
 
@@ -29,6 +29,10 @@ def op7_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op8_log_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op4_benchmark_decontamination, op5_minimax_sharding, op6_quality_neighbours, op7_language_hierarchy, op9_differencing_packing, op10_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op4_benchmark_decontamination, op5_minimax_sharding, op6_quality_neighbours, op7_language_hierarchy, op8_log_template_line_dedup, op9_differencing_packing, op10_simhash_near_dedup,)}
 
 ORACLE_SQL: dict[str, str] = {}
