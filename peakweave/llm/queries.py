@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakweave.llm import decontamination, embedding_dedup, language, line_dedup, packing, quality, sharding, simhash
+from peakweave.llm import decontamination, embedding_dedup, language, line_dedup, packing, quality, sharding, simhash, url_filter
 from peakweave.llm._shared import table
 
 
+def op1_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.train_rows(url_filter.seed_urls()))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -42,6 +46,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_embedding_near_dedup, op4_benchmark_decontamination, op5_minimax_sharding, op6_quality_neighbours, op7_language_hierarchy, op8_log_template_line_dedup, op9_differencing_packing, op10_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_url_trees, op2_embedding_near_dedup, op4_benchmark_decontamination, op5_minimax_sharding, op6_quality_neighbours, op7_language_hierarchy, op8_log_template_line_dedup, op9_differencing_packing, op10_simhash_near_dedup,)}
 
 ORACLE_SQL: dict[str, str] = {}
