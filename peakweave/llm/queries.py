@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakweave.llm import decontamination, embedding_dedup, language, line_dedup, packing, quality, sharding, simhash, url_filter
+from peakweave.llm import decontamination, embedding_dedup, language, line_dedup, packing, quality, sharding, simhash, url_filter, warc
 from peakweave.llm._shared import table
 
 
@@ -17,6 +17,11 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_archives(index)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +51,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_trees, op2_embedding_near_dedup, op4_benchmark_decontamination, op5_minimax_sharding, op6_quality_neighbours, op7_language_hierarchy, op8_log_template_line_dedup, op9_differencing_packing, op10_simhash_near_dedup,)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_url_trees, op2_embedding_near_dedup, op3_warc_index_merge, op4_benchmark_decontamination, op5_minimax_sharding, op6_quality_neighbours, op7_language_hierarchy, op8_log_template_line_dedup, op9_differencing_packing, op10_simhash_near_dedup,)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_index_merge": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        f AS (SELECT html, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY html)
+        SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest,
+               CASE WHEN p.page_id <> f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id <> f.first_id THEN f.first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.html = f.html""",
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+               AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                 WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.other),
+        c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+        SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+}
