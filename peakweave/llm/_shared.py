@@ -35,7 +35,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here, and it is computed once."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # Snappy's direct buffers pile up where the heap is seldom collected
     return spark.read.schema(df.schema).parquet(path)
 
 
