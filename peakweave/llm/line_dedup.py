@@ -34,7 +34,7 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.col(text_col).cast("string")
     # outer, or the optimiser infers a filter on the array and splits every text twice
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode_outer(F.split(text, "\n")).alias("pos", "raw"))
-    return each.select("doc_id", "pos", F.trim(F.translate("raw", "\t\r", "  ")).alias("line"))
+    return each.select("doc_id", "pos", F.btrim("raw", F.lit(" \t\r")).alias("line"))
 
 
 def _leaf(line: Column, depth: int) -> Column:
@@ -54,24 +54,26 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     crowded = F.broadcast(crowded) if fits(crowded, BROADCAST_ROWS) else crowded
     has_field = F.col("line").rlike("[0-9]")
     masked = F.when(has_field, F.array_join(_masked(F.split("line", " ")), " ")).otherwise(F.col("line"))
-    kept = leafed.join(crowded, "leaf").select("doc_id", "pos", "leaf", masked.alias("line")).select("doc_id", "pos", "leaf", F.xxhash64("leaf", "line").alias("own"), "line")
-    kept = materialise(kept, "crowded-lines")
-    distinct = kept.groupBy("leaf", "own").agg(F.count_distinct("doc_id").alias("docs"), F.min("line").alias("line"))
-    distinct = materialise(distinct, "distinct-lines")
-    # a line that recurs as it stands keeps all its tokens; the rest are generalised within their leaf
-    tokens = distinct.select("leaf", "own", "docs", F.posexplode_outer(F.split("line", " ")).alias("at", "token"))
-    tokens = tokens.select("leaf", "own", "docs", "at", F.xxhash64("token").alias("token"), (F.col("token") == FIELD).alias("field"))
-    common = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("stays"))
-    rare = tokens.where(F.col("docs") < min_docs)
-    staying = rare.join(common, ["leaf", "at", "token"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)) & ~F.col("field"))
-    shape = F.when(F.col("stays"), F.xxhash64("at", "token")).otherwise(F.xxhash64("at", F.lit(FIELD)))
-    general = staying.groupBy("leaf", "own").agg(F.bit_xor(shape).alias("shape"), F.avg(F.col("stays").cast("double")).alias("kept"))
-    general = general.where(F.col("kept") >= min_kept).select("own", F.xxhash64("leaf", "shape").alias("template"))
-    # where every token stays, the template is the line itself, so lines that recur as they stand count for the same one
-    whole = F.aggregate(F.transform(F.split("line", " "), lambda t, i: F.when(t == FIELD, F.xxhash64(i, F.lit(FIELD))).otherwise(F.xxhash64(i, F.xxhash64(t)))), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
-    words = F.size(F.split("line", " "))
-    firm = F.size(F.filter(F.split("line", " "), lambda t: t != FIELD)) >= min_kept * words
-    fixed = distinct.where((F.col("docs") >= min_docs) & firm).select("own", F.xxhash64("leaf", whole).alias("template"))
+    kept = leafed.join(crowded, "leaf").select("doc_id", "pos", "leaf", masked.alias("line"))
+    tokens = F.split("line", " ")
+    # the template of a line that keeps all its tokens, and whether those are enough of it
+    whole = F.aggregate(F.transform(tokens, lambda t, i: F.xxhash64(i, F.xxhash64(t), t == FIELD)), F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
+    firm = F.size(F.filter(tokens, lambda t: t != FIELD)) >= min_kept * F.size(tokens)
+    kept = materialise(kept.select("*", F.xxhash64("leaf", "line").alias("own"), whole.alias("shape"), firm.alias("firm")), "crowded-lines")
+    in_doc = kept.groupBy("leaf", "own", "shape", "firm", "doc_id").agg(F.min("pos").alias("pos"))
+    lines_ = in_doc.groupBy("leaf", "own", "shape", "firm").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
+    lines_ = materialise(lines_, "distinct-lines")
+    # each distinct line once, token by token
+    shown = in_doc.join(lines_.select("own", F.col("first").alias("doc_id"), "docs"), ["own", "doc_id"]).select("doc_id", "pos", "docs")
+    each = kept.select("doc_id", "pos", "leaf", "own", "line").join(shown, ["doc_id", "pos"]).select("leaf", "own", "docs", F.posexplode_outer(F.split("line", " ")).alias("at", "token"))
+    each = materialise(each.select("leaf", "own", "docs", "at", F.xxhash64("token").alias("token"), (F.col("token") == FIELD).alias("field")), "tokens")
+    common = each.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("stays"))
+    # a line that recurs as it stands keeps all its tokens; the others are generalised within their leaf
+    rare = each.where(F.col("docs") < min_docs).join(common, ["leaf", "at", "token"], "left").withColumn("stays", F.coalesce("stays", F.lit(False)) & ~F.col("field"))
+    shape = F.when(F.col("stays"), F.xxhash64("at", "token", F.lit(False))).otherwise(F.xxhash64("at", F.xxhash64(F.lit(FIELD)), F.lit(True)))
+    general = rare.groupBy("leaf", "own").agg(F.bit_xor(shape).alias("shape"), F.avg(F.col("stays").cast("double")).alias("share"))
+    general = general.where(F.col("share") >= min_kept).select("own", F.xxhash64("leaf", "shape").alias("template"))
+    fixed = lines_.where((F.col("docs") >= min_docs) & F.col("firm")).select("own", F.xxhash64("leaf", "shape").alias("template"))
     templates = fixed.unionByName(general)
     placed = materialise(kept.select("doc_id", "pos", "own").join(templates, "own").select("doc_id", "pos", "template"), "placed")
     often = placed.groupBy("template", "doc_id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_docs)
@@ -81,7 +83,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 def _thinned(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     gone = recurring(docs, id_col, text_col, **how).where("doc_id <> first_doc").groupBy(F.col("doc_id").alias("__pw_id")).agg(F.collect_set("pos").alias("__pw_gone"))
     gone = materialise(gone, "dropped")
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__pw_id"), "left").withColumn("__pw_lines", F.split(F.col(text_col).cast("string"), "\n"))
+    joined = docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col("__pw_id"), "left").withColumn("__pw_lines", F.split(F.col(text_col).cast("string"), "\n"))
     stays = F.array_except(F.sequence(F.lit(0), F.size("__pw_lines") - 1), "__pw_gone")
     kept = F.array_join(F.transform(stays, lambda i: F.get("__pw_lines", i)), "\n")
     return joined.withColumn("__pw_text", F.when(F.col("__pw_gone").isNull(), F.col(text_col).cast("string")).otherwise(kept))
