@@ -12,8 +12,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from peakweave.sources.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +42,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)``, with this package on the executors: a function takes along what is shipped when it is made."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most so many rows; it reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows

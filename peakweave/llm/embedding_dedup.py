@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakweave.llm._shared import materialise
+from peakweave.llm._shared import mapped, materialise
 from peakweave.llm.components import connected_components
 from peakweave.llm.tiles import map_tiles, runs, stars, tiled
 
@@ -94,7 +94,7 @@ def _hashed(classes: DataFrame, tables: int, hashes: int) -> DataFrame:
                     columns |= {"buckets": pa.array(found.reshape(len(own), -1).tolist(), pa.list_(pa.int64()))}
                     yield pa.RecordBatch.from_pydict(columns)
 
-    return classes.mapInArrow(run, "rep long, label string, dim int, many long, vector binary, signature binary, buckets array<long>")
+    return mapped(classes, run, "rep long, label string, dim int, many long, vector binary, signature binary, buckets array<long>")
 
 
 def _first_meeting(sig_a: np.ndarray, sig_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakweave.llm._shared import mapped
 from peakweave.llm.quality import trigram_counts
 
 #: Bounds of the fit: texts of a language, languages, hashed trigrams.
@@ -142,7 +143,7 @@ def training_sample(docs: DataFrame, bound: int = MAX_PER_LANGUAGE) -> tuple[np.
                 found = vectors(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([v.astype(np.float16).tobytes() for v in found], pa.binary())], ["doc_id", "lang", "vector"])
 
-    got = sorted((r.lang, r.doc_id, bytes(r.vector)) for r in taught.mapInArrow(run, "doc_id long, lang string, vector binary").limit(2 * bound * len(counts)).collect())
+    got = sorted((r.lang, r.doc_id, bytes(r.vector)) for r in mapped(taught, run, "doc_id long, lang string, vector binary").limit(2 * bound * len(counts)).collect())
     x = np.array([np.frombuffer(v, np.float16) for _, _, v in got], np.float32).reshape(len(got), TERMS + 1)
     return x, np.array([lang for lang, _, _ in got], object)
 
@@ -165,4 +166,4 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return plain.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double").select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return mapped(plain.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double").select("doc_id", held.alias("held_out"), "lang_pred", "score")

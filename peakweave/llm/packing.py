@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from peakweave.llm._shared import materialise
+from peakweave.llm._shared import mapped, materialise
+from peakweave.sources.shipping import ship
 
 CAPACITY, CHUNK, LEAST, GROUP_TOKENS, EOD = 1024, 128, 8, 196_608, 0
 
@@ -102,7 +103,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, chunk: int = CH
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return mapped(kept, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -164,6 +165,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, c
         return table.drop_columns(["group_id"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    ship(docs.sparkSession)
     small = dealt.groupBy("group_id").applyInArrow(work, schema)
     # a full piece is a sequence by itself; its number is below zero and tells its part of the table and place there
     alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakweave.llm._shared import mapped
+
 #: Bounds of the fit: labelled texts, hashed terms of each kind, latent dimensions.
 MAX_LABELLED, TERMS, REPEAT_TERMS, RANK = 2000, 1024, 16, 32
 NEIGHBOURS, THRESHOLD, SEED = 15, 0.3, 6
@@ -112,7 +114,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLE
                 found = terms_of(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.astype(np.float16).tobytes() for x in found], pa.binary())], ["doc_id", "quality", "terms"])
 
-    got = sorted(((r.doc_id, r.quality, bytes(r.terms)) for r in taught.mapInArrow(run, "doc_id long, quality int, terms binary").limit(2 * bound).collect()))[:bound]
+    got = sorted(((r.doc_id, r.quality, bytes(r.terms)) for r in mapped(taught, run, "doc_id long, quality int, terms binary").limit(2 * bound).collect()))[:bound]
     x = np.array([np.frombuffer(t, np.float16) for _, _, t in got], np.float32).reshape(len(got), 2 * TERMS + REPEAT_TERMS)
     return x, np.array([q for _, q, _ in got], np.int64)
 
@@ -135,7 +137,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(score, 0, 1))], ["doc_id", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return plain.mapInArrow(run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return mapped(plain, run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -151,4 +153,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
                 score = vote(model.value, terms_of(batch.column(text).to_pylist()))
                 yield batch.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

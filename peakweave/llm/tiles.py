@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peakweave.llm._shared import mapped
+
 CHUNK = 1024
 
 
@@ -59,7 +61,7 @@ def map_tiles(rows: DataFrame, work: Callable[[pa.Table], pa.Table | None], sche
         if kept and (out := work(pa.Table.from_batches(kept))) is not None:
             yield from out.to_batches()
 
-    return rows.repartition("tile").sortWithinPartitions("tile", *order).mapInArrow(run, schema)
+    return mapped(rows.repartition("tile").sortWithinPartitions("tile", *order), run, schema)
 
 
 def runs(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

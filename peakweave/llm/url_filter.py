@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peakweave.sources.shipping import ship
+
 MAX_LABELLED, TREES, DEPTH, RATE, BINS = 20_000, 40, 3, 0.2, 32
 
 #: (rule, verdict)
@@ -184,6 +186,7 @@ def judged(pages: DataFrame, model: dict, rules: Iterable[tuple[str, str]] = RUL
     A null URL, or one without ``://``, has an empty host and path, fits no rule, and is judged by its features, as any
     other. Repeated rows are judged alike; other columns are not read.
     """
+    ship(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

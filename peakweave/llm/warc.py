@@ -27,7 +27,7 @@ from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakweave.llm._shared import fits, materialise, shared_path
+from peakweave.llm._shared import fits, mapped, materialise, shared_path
 
 MIN_SHARED, ROLL_BYTES, FAN_IN, RANGE_ROWS, BATCH_ROWS, BROADCAST_ROWS = 100, 512 << 20, 64, 1_000_000, 4096, 200_000
 EPOCH = 1_700_000_000
@@ -227,7 +227,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
         columns = list(zip(*done, strict=True)) if done else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.string()))], ["run", "n", "samples"])
 
-    return pages.mapInArrow(run, "run string, n long, samples array<string>")
+    return mapped(pages, run, "run string, n long, samples array<string>")
 
 
 def merged_index(spark: SparkSession, runs: list[tuple[str, int, list[str]]], folder: str, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -250,7 +250,7 @@ def merged_index(spark: SparkSession, runs: list[tuple[str, int, list[str]]], fo
                     yield pa.RecordBatch.from_arrays([pa.array([group["out"]]), pa.array([path]), pa.array([n], pa.int64())], ["out", "run", "n"])
 
         tasks = spark.createDataFrame(groups, "paths array<string>, out string").repartition(len(groups))
-        made = {r.out: (r.run, r.n) for r in tasks.mapInArrow(fold, "out string, run string, n long").collect()}
+        made = {r.out: (r.run, r.n) for r in mapped(tasks, fold, "out string, run string, n long").collect()}
         samples = [sum((r[2] for r in runs[k : k + fan_in]), []) for k in range(0, len(runs), fan_in)]
         runs = [(*made[out], s) for (_, out), s in zip(groups, samples, strict=True)]
     total = sum(n for _, n, _ in runs)
@@ -278,7 +278,7 @@ def merged_index(spark: SparkSession, runs: list[tuple[str, int, list[str]]], fo
                     yield flush(kept, at)
 
     parts = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip([None, *cuts], [*cuts, None], strict=True))], "range_id int, low string, high string")
-    return parts.repartitionByRange(wanted, "range_id").mapInArrow(merge, "range_id int, position long, key string, timestamp long, page_id long, archive string, offset long, length long")
+    return mapped(parts.repartitionByRange(wanted, "range_id"), merge, "range_id int, position long, key string, timestamp long, page_id long, archive string, offset long, length long")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def read_archives(index: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     places = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
-    return places.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return mapped(places, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_shared: int = MIN_SHARED, folder: str | None = None) -> tuple[DataFrame, str]:
