@@ -43,13 +43,14 @@ def spliced(found: DataFrame) -> DataFrame:
 
 def blocks(found: DataFrame) -> DataFrame:
     """A row per block of an alignment: ``block_ix, left, right`` beside the columns of ``alignments``."""
-    pairs = F.transform(F.sequence(F.lit(0), F.expr("size(points) div 2 - 1")), lambda k: F.struct(k.alias("block_ix"), F.get("points", 2 * k).alias("left"), F.get("points", 2 * k + 1).alias("right")))
-    return spliced(found).withColumn("pairs", pairs).select(*found.columns, F.inline("pairs"))
+    pairs = F.transform(F.sequence(F.lit(0), F.expr("size(points) div 2 - 1")), lambda k: F.struct(k.cast("int").alias("block_ix"), F.get("points", 2 * k).alias("left"), F.get("points", 2 * k + 1).alias("right")))
+    # outer, or the optimiser infers a filter on the pairs and splices every alignment again for each of them
+    return spliced(found).withColumn("pairs", pairs).select(*found.columns, F.inline_outer("pairs"))
 
 
 def junctions(found: DataFrame) -> DataFrame:
     """A row per junction of an alignment: ``junction`` beside the columns of ``alignments``."""
-    return spliced(found).select(*found.columns, F.explode("junctions").alias("junction"))
+    return spliced(found).select(*found.columns, F.explode_outer("junctions").alias("junction")).where("junction IS NOT NULL")
 
 
 def contigs(reads: DataFrame) -> DataFrame:

@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from peakweave.config import Config
 from peakweave.operators import assign, chains, density, genes, linking, reads, sessions
+from peakweave.sources.shared import materialise
 
 CLUSTER = linking.CLUSTER
 
 
 @dataclass(frozen=True)
 class Found:
-    """What a run finds, stage by stage; frames are lazy."""
+    """What a run finds, stage by stage. Blocks, clusters and paths are written once; several stages read them."""
 
     alignments: DataFrame
     clusters: DataFrame
     blocks: DataFrame
+    paths: DataFrame
     transcripts: DataFrame
 
 
@@ -45,47 +47,39 @@ def labels(blocks: DataFrame, clusters: DataFrame, side: str, config: Config) ->
 
 
 def found_paths(blocks: DataFrame, clusters: DataFrame, config: Config) -> DataFrame:
-    left, right = (labels(blocks, clusters, side, config) for side in ("left", "right"))
+    left, right = (materialise(labels(blocks, clusters, side, config), side) for side in ("left", "right"))
     linked = linking.paths(blocks, left, right)
     return linking.coordinates(linked, density.regions(left, CLUSTER), density.regions(right, CLUSTER), config.epsilon)
 
 
 def find(reads_: DataFrame, config: Config) -> Found:
-    found = reads.alignments(reads_, config)
+    found = materialise(reads.alignments(reads_, config), "alignments")
     wholes, placed = clustered(found, config)
-    blocks = reads.blocks(placed)
-    linked = found_paths(blocks, wholes, config)
+    wholes, blocks = materialise(wholes, "clusters"), materialise(reads.blocks(placed), "blocks")
+    linked = materialise(found_paths(blocks, wholes, config), "paths")
     crossed = reads.junctions(placed).select(*CLUSTER, "junction").distinct()
     overlapped = chains.overlap_clusters(linked, crossed, config.epsilon)
-    collapsed = chains.collapse_clusters(overlapped, wholes, config.epsilon)
-    return Found(placed, wholes, blocks, chains.transcripts(collapsed))
+    collapsed = chains.collapse_clusters(materialise(overlapped, "chains"), wholes, config.epsilon)
+    return Found(found, wholes, blocks, linked, materialise(chains.transcripts(collapsed), "transcripts"))
 
 
-def single_reads(found: Found) -> DataFrame:
-    """Blocks of the clusters in which no transcript was found, absorbed clusters not counted."""
-    spans = found.transcripts.select("contig", "strand", "cluster", "stop").distinct()
-    # a transcript's cluster may have absorbed later ones that have transcripts; those in between without any stand alone
-    return found.blocks.join(spans.select("contig", "strand", "cluster"), CLUSTER, "left_anti")
-
-
-def assigned(found: Found, exons: DataFrame, config: Config, with_paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(transcripts, single reads) with ``status, gene, gene_strand``. with_paths: the clusters that have transcripts of their own."""
+def assigned(found: Found, exons: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(transcripts, single reads) with ``status, gene, gene_strand``. Reads stand alone in clusters that have no path of their own."""
     other = 1 - F.col("strand") if config.strandedness == "reverse" else F.col("strand")
     tx = assign.assign_transcripts(found.transcripts, exons, config).withColumn("gene_strand", other)
-    alone = found.blocks.join(with_paths.select(*CLUSTER).distinct(), CLUSTER, "left_anti")
+    alone = found.blocks.join(found.paths.select(*CLUSTER).distinct(), CLUSTER, "left_anti")
     return tx, assign.assign_reads(alone, exons, config).withColumn("gene_strand", other)
 
 
 def counted(reads_: DataFrame, annotation: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(transcripts, gene counts, summary) of a run with an annotation."""
     found = find(reads_, config)
-    exons = genes.exon_union(genes.gene_lines(annotation))
-    own_paths = found_paths(found.blocks, found.clusters, config)
-    tx, single = assigned(found, exons, config, own_paths)
-    both = tx.select("contig", "status", "gene", "gene_strand", F.col("counts").alias("w")).unionByName(single.select("contig", "status", "gene", "gene_strand", F.col("n").cast("double").alias("w")))
+    exons = materialise(genes.exon_union(genes.gene_lines(annotation)), "exons")
+    tx, single = assigned(found, exons, config)
+    weights = [df.select("contig", "status", "gene", "gene_strand", F.col(w).cast("double").alias("w")) for df, w in ((tx, "counts"), (single, "n"))]
+    both = materialise(weights[0].unionByName(weights[1]), "assigned")
     by_gene = assign.gene_counts(genes.gene_table(exons), both, "w")
-    sums = both.groupBy().pivot("status", ["assigned", "unassigned", "ambiguous"]).agg(F.coalesce(F.sum("w"), F.lit(0.0)))
+    sums = both.agg(*(F.coalesce(F.sum(F.when(F.col("status") == s, F.col("w"))), F.lit(0.0)).alias(s) for s in ("assigned", "unassigned", "ambiguous")))
     rejects = reads.reject_summary(reads_, config).agg(F.sum("multimapped").alias("multimapping"), F.sum("low_quality").alias("low_quality"), F.sum("total").alias("total"))
-    summary = both.agg(*(F.coalesce(F.sum(F.when(F.col("status") == s, F.col("w"))), F.lit(0.0)).alias(s) for s in ("assigned", "unassigned", "ambiguous")))
-    del sums
-    return tx, by_gene, summary.crossJoin(rejects).crossJoin(tx.agg(F.count(F.lit(1)).alias("transcripts")))  # one row each
+    lone = tx.agg(F.count(F.lit(1)).alias("transcripts"))
+    return tx, by_gene, sums.join(rejects, F.lit(True)).join(lone, F.lit(True))  # one row each
