@@ -1,53 +1,20 @@
-"""What the training-data operators share: table paths and cuts in the lineage.
-
-Intermediate tables go as Parquet to the folder that the cluster names in
-``spark.checkpoint.dir``, which every executor sees, so a lost executor costs
-at most the tasks that it ran.
-"""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from peakweave.sources.shared import mapped, materialise, shared_dir, shared_path
 from peakweave.sources.shipping import ship
 
+__all__ = ["fits", "mapped", "materialise", "shared_dir", "shared_path", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; where none is set (tests, a laptop) a temporary one is set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("peakweave.shared.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='peakweave-')}"
-        spark.conf.set("peakweave.shared.dir", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/peakweave/{uuid.uuid4().hex}-{name}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here, and it is computed once."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)  # Snappy's direct buffers pile up where the heap is seldom collected
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)``, with this package on the executors: a function takes along what is shipped when it is made."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most so many rows; it reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
