@@ -51,6 +51,12 @@ def splice(ops: str) -> Column:
     return F.expr(f"aggregate(sequence(0, size({ops}) - 1), {begin}, (s, i) -> {step}, {finish})")
 
 
+def splice_of(cigar: str, ops: str) -> Column:
+    """``splice``, but for a CIGAR of one match, as most are, without walking its operations."""
+    plain = f"named_struct('points', array(0, cast(left({cigar}, length({cigar}) - 1) as int) - 1), 'junctions', cast(array() as array<int>))"
+    return F.when(F.col(cigar).rlike("^[0-9]+M$"), F.expr(plain)).otherwise(splice(ops))
+
+
 def mirrored(intervals: Column) -> Column:
     """A list of intervals seen from the other end: negated, start and stop swapped, in reverse order."""
     return F.transform(F.reverse(intervals), lambda x: F.struct((-x["stop"]).alias("start"), (-x["start"]).alias("stop")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.config import Config
-from peakweave.functions.alignment import OPERATIONS, reject_reason, splice, strand_of
+from peakweave.functions.alignment import OPERATIONS, reject_reason, splice_of, strand_of
 
 
 def judged(reads: DataFrame, config: Config) -> DataFrame:
@@ -36,21 +36,28 @@ def alignments(reads: DataFrame, config: Config) -> DataFrame:
 
 def spliced(found: DataFrame) -> DataFrame:
     """``alignments`` with ``points`` and ``junctions`` as positions."""
-    parts = found.withColumn("ops", F.expr(OPERATIONS)).withColumn("parts", splice("ops"))
+    ops = F.when(~F.col("cigar").rlike("^[0-9]+M$"), F.expr(OPERATIONS))
+    parts = found.withColumn("ops", ops).withColumn("parts", splice_of("cigar", "ops"))
     placed = [F.transform(F.col(f"parts.{c}"), lambda x: x + F.col("pos")).alias(c) for c in ("points", "junctions")]
     return parts.select(*found.columns, *placed)
 
 
+def _spliced(found: DataFrame) -> DataFrame:
+    return found if "points" in found.columns else spliced(found)
+
+
 def blocks(found: DataFrame) -> DataFrame:
-    """A row per block of an alignment: ``block_ix, left, right`` beside the columns of ``alignments``."""
+    """A row per block of an alignment, spliced or not: ``block_ix, left, right`` beside the columns of ``alignments``."""
+    kept = [c for c in found.columns if c not in ("points", "junctions")]
     pairs = F.transform(F.sequence(F.lit(0), F.expr("size(points) div 2 - 1")), lambda k: F.struct(k.cast("int").alias("block_ix"), F.get("points", 2 * k).alias("left"), F.get("points", 2 * k + 1).alias("right")))
     # outer, or the optimiser infers a filter on the pairs and splices every alignment again for each of them
-    return spliced(found).withColumn("pairs", pairs).select(*found.columns, F.inline_outer("pairs"))
+    return _spliced(found).withColumn("pairs", pairs).select(*kept, F.inline_outer("pairs"))
 
 
 def junctions(found: DataFrame) -> DataFrame:
     """A row per junction of an alignment: ``junction`` beside the columns of ``alignments``."""
-    return spliced(found).select(*found.columns, F.explode_outer("junctions").alias("junction")).where("junction IS NOT NULL")
+    kept = [c for c in found.columns if c not in ("points", "junctions")]
+    return _spliced(found).select(*kept, F.explode_outer("junctions").alias("junction")).where("junction IS NOT NULL")
 
 
 def contigs(reads: DataFrame) -> DataFrame:

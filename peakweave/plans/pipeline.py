@@ -25,11 +25,9 @@ class Found:
     transcripts: DataFrame
 
 
-def clustered(found: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(clusters, alignments with their cluster)."""
-    islands = sessions.anchored_islands(found, config.window_size)
-    wholes = sessions.clusters(islands, config.window_size)
-    return wholes, sessions.with_cluster(found, wholes, config.window_size)
+def clusters_of(found: DataFrame, config: Config) -> DataFrame:
+    """The clusters of alignments."""
+    return sessions.clusters(sessions.anchored_islands(found, config.window_size), config.window_size)
 
 
 def eligible(clusters: DataFrame, config: Config) -> DataFrame:
@@ -40,22 +38,29 @@ def eligible(clusters: DataFrame, config: Config) -> DataFrame:
     return kept.withColumn("least", density.least_neighbours(F.col("read_count"), config.count_percentage))
 
 
-def labels(blocks: DataFrame, clusters: DataFrame, side: str, config: Config) -> DataFrame:
-    """Labelled block ends of the eligible clusters: ``contig, strand, cluster, pos, n, neighbours, core, label``. side: left or right."""
-    counted = blocks.groupBy(*CLUSTER, F.col(side).alias("pos")).agg(F.sum("n").alias("n"))
-    return density.dbscan_1d(counted.join(eligible(clusters, config).select(*CLUSTER, "least"), CLUSTER), CLUSTER, config.epsilon, "least")
+def labels(blocks: DataFrame, clusters: DataFrame, config: Config) -> DataFrame:
+    """Labelled block ends of the eligible clusters: ``contig, strand, cluster, side, pos, n, neighbours, core, label``; side: left or right."""
+    ends = F.inline(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("pos")) for side in ("left", "right"))))
+    counted = blocks.select(*CLUSTER, "n", ends).groupBy(*CLUSTER, "side", "pos").agg(F.sum("n").alias("n"))
+    return density.dbscan_1d(counted.join(eligible(clusters, config).select(*CLUSTER, "least"), CLUSTER), [*CLUSTER, "side"], config.epsilon, "least")
+
+
+def side_of(labelled: DataFrame, side: str) -> DataFrame:
+    return labelled.where(F.col("side") == side).drop("side")
 
 
 def found_paths(blocks: DataFrame, clusters: DataFrame, config: Config) -> DataFrame:
-    left, right = (materialise(labels(blocks, clusters, side, config), side) for side in ("left", "right"))
+    labelled = materialise(labels(blocks, clusters, config), "labels")
+    left, right = side_of(labelled, "left"), side_of(labelled, "right")
     linked = linking.paths(blocks, left, right)
     return linking.coordinates(linked, density.regions(left, CLUSTER), density.regions(right, CLUSTER), config.epsilon)
 
 
 def find(reads_: DataFrame, config: Config) -> Found:
     found = materialise(reads.alignments(reads_, config), "alignments")
-    wholes, placed = clustered(found, config)
-    wholes, blocks = materialise(wholes, "clusters"), materialise(reads.blocks(placed), "blocks")
+    wholes = materialise(clusters_of(found, config), "clusters")
+    placed = materialise(reads.spliced(sessions.with_cluster(found, wholes, config.window_size)), "spliced")
+    blocks = reads.blocks(placed)
     linked = materialise(found_paths(blocks, wholes, config), "paths")
     crossed = reads.junctions(placed).select(*CLUSTER, "junction").distinct()
     overlapped = chains.overlap_clusters(linked, crossed, config.epsilon)

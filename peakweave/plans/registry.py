@@ -26,13 +26,14 @@ def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(clusters, blocks with their cluster)."""
-    wholes, placed = pipeline.clustered(materialise(_alignments(spark, sf_dir), "alignments"), CONFIG)
-    return materialise(wholes, "clusters"), materialise(reads.blocks(placed), "blocks")
+    found = materialise(_alignments(spark, sf_dir), "alignments")
+    wholes = materialise(pipeline.clusters_of(found, CONFIG), "clusters")
+    return wholes, reads.blocks(materialise(reads.spliced(sessions.with_cluster(found, wholes, CONFIG.window_size)), "spliced"))
 
 
 def _labels(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     wholes, blocks = _clustered(spark, sf_dir)
-    return pipeline.labels(blocks, wholes, side, CONFIG)
+    return pipeline.side_of(pipeline.labels(blocks, wholes, CONFIG), side)
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -56,7 +56,9 @@ def write_gtf(rows: DataFrame, path: str, config: Config, contigs: DataFrame | N
 
 def count_rows(counts: DataFrame) -> DataFrame:
     """Gene counts as text rows ``gene_id <tab> count``, both strands in one order."""
-    return counts.orderBy("contig", "start", "strand", "gene_id").select(F.concat_ws("\t", "gene_id", F.format_string("%.6g", F.col("reads"))).alias("value"))
+    shown = F.format_string("%.6g", F.col("reads"))
+    shown = F.when(F.contains(shown, F.lit("e")), shown).otherwise(F.regexp_replace(shown, r"(\.\d*[1-9])0+$|\.0+$", "$1"))
+    return counts.orderBy("contig", "start", "strand", "gene_id").select(F.concat_ws("\t", "gene_id", shown).alias("value"))
 
 
 def summary_rows(counts: DataFrame) -> DataFrame:
