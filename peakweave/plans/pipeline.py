@@ -85,6 +85,6 @@ def counted(reads_: DataFrame, annotation: DataFrame, config: Config) -> tuple[D
     both = materialise(weights[0].unionByName(weights[1]), "assigned")
     by_gene = assign.gene_counts(genes.gene_table(exons), both, "w")
     sums = both.agg(*(F.coalesce(F.sum(F.when(F.col("status") == s, F.col("w"))), F.lit(0.0)).alias(s) for s in ("assigned", "unassigned", "ambiguous")))
-    rejects = reads.reject_summary(reads_, config).agg(F.sum("multimapped").alias("multimapping"), F.sum("low_quality").alias("low_quality"), F.sum("total").alias("total"))
+    rejects = reads.reject_summary(reads_.where("contig IS NOT NULL"), config).agg(F.sum("multimapped").alias("multimapping"), F.sum("low_quality").alias("low_quality"), F.sum("total").alias("total"))
     lone = tx.agg(F.count(F.lit(1)).alias("transcripts"))
     return tx, by_gene, sums.join(rejects, F.lit(True)).join(lone, F.lit(True))  # one row each

@@ -45,13 +45,29 @@ def gtf_rows(transcripts: DataFrame, config: Config) -> DataFrame:
     return genes.unionByName(rows).unionByName(row(exons, "exon", F.col("e.start"), F.col("e.stop"), exon, F.col("tx_ix"), F.col("exon_ix")))
 
 
-def write_gtf(rows: DataFrame, path: str, config: Config, contigs: DataFrame | None = None) -> None:
-    """One directory of text: a header, then the rows by contig, cluster, strand, transcript and exon; parts are in order."""
-    lines = rows.orderBy("seqname", "cluster", "strand", "tx_ix", "exon_ix").select(F.concat_ws("\t", *GTF_COLUMNS).alias("value"))
-    spark = rows.sparkSession
-    header = [h.format(parameters=f"window {config.window_size} epsilon {config.epsilon} min_count {config.min_count}") for h in HEADER]
-    spark.createDataFrame([(h,) for h in header], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
-    lines.write.mode("overwrite").text(f"{path}/rows")
+def gtf_lines(rows: DataFrame, config: Config) -> DataFrame:
+    """The text of a GTF, header first, then by contig, cluster, strand, transcript and exon, in one global order."""
+    told = f"window {config.window_size} epsilon {config.epsilon} min_count {config.min_count} strandedness {config.strandedness}"
+    header = rows.sparkSession.createDataFrame([(k, h.format(parameters=told)) for k, h in enumerate(HEADER)], "_place int, value string")
+    order = ["seqname", "cluster", "strand", "tx_ix", "exon_ix"]
+    lines = rows.select(F.lit(len(HEADER)).alias("_place"), F.concat_ws("\t", *GTF_COLUMNS).alias("value"), *order)
+    return header.unionByName(lines, allowMissingColumns=True).orderBy("_place", *order).select("value")
+
+
+def write_gtf(rows: DataFrame, path: str, config: Config) -> None:
+    """A directory of text whose parts, in the order of their names, are the file."""
+    gtf_lines(rows, config).write.mode("overwrite").text(path)
+
+
+def cluster_lines(clusters: DataFrame) -> DataFrame:
+    """Clusters as text: contig, start, stop and reads between tabs, strand by strand."""
+    return clusters.orderBy("contig", "strand", "start").select(F.concat_ws("\t", "contig", "start", "stop", "read_count").alias("value"))
+
+
+def gene_lines(genes: DataFrame) -> DataFrame:
+    """Genes as text: contig, id and exons between spaces, both strands in one order."""
+    spans = F.transform("exons", lambda e: F.concat(e["start"], F.lit("-"), e["stop"]))
+    return genes.orderBy("contig", "start", "strand", "gene_id").select(F.concat_ws(" ", "contig", "gene_id", spans).alias("value"))
 
 
 def count_rows(counts: DataFrame) -> DataFrame:
