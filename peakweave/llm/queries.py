@@ -71,4 +71,38 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
         n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
         SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op4_benchmark_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
+        dp AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS pos FROM d WHERE len(ws) > 0),
+        ip AS (SELECT item_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS j FROM i WHERE len(ws) > 0),
+        ds AS (SELECT doc_id, pos, greatest(len(ws) - 4, 1) AS size, CASE WHEN len(ws) >= 5 THEN '' ELSE 'whole ' END || array_to_string(ws[pos + 1 : pos + 5], ' ') AS sh FROM dp),
+        sh AS (SELECT item_id, j, greatest(len(ws) - 4, 1) AS m, CASE WHEN len(ws) >= 5 THEN '' ELSE 'whole ' END || array_to_string(ws[j + 1 : j + 5], ' ') AS sh FROM ip),
+        c AS (SELECT DISTINCT ds.doc_id, sh.item_id, sh.m, least(sh.m, ds.size) AS w, greatest(0, least(ds.pos - sh.j, ds.size - sh.m)) AS start FROM ds JOIN sh USING (sh)),
+        win AS (SELECT c.doc_id, c.item_id, c.start, c.m, c.w, ds.sh, count(*) AS k FROM c JOIN ds ON ds.doc_id = c.doc_id AND ds.pos >= c.start AND ds.pos < c.start + c.w GROUP BY ALL),
+        it AS (SELECT item_id, sh, count(*) AS k FROM sh GROUP BY ALL),
+        same AS (SELECT win.doc_id, win.item_id, win.start, win.m, win.w, sum(least(win.k, it.k)) AS s FROM win JOIN it ON it.item_id = win.item_id AND it.sh = win.sh GROUP BY ALL),
+        leak AS (SELECT doc_id, item_id, max(s / (m + w - s)) AS similarity FROM same WHERE s / (m + w - s) >= 0.8 GROUP BY ALL),
+        best AS (SELECT doc_id, count(*) AS n_items, arg_max(item_id, (similarity, -item_id)) AS item_id, max(similarity) AS similarity FROM leak GROUP BY doc_id)
+        SELECT a.doc_id, b.doc_id IS NOT NULL AS contaminated, coalesce(b.n_items, 0) AS n_items, b.item_id, b.similarity FROM documents a LEFT JOIN best b ON a.doc_id = b.doc_id""",
+    "op8_log_template_line_dedup": """
+        WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM raw),
+        t AS (SELECT doc_id, pos, list_transform(string_split(trim(line, chr(32) || chr(9) || chr(13)), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS ts
+              FROM l WHERE trim(line, chr(32) || chr(9) || chr(13)) <> ''),
+        k AS (SELECT doc_id, pos, ts, (len(ts), ts[1], ts[2], ts[3]) AS leaf FROM t WHERE len(ts) >= 3),
+        o AS (SELECT leaf, ts, count(DISTINCT doc_id) AS docs FROM k GROUP BY ALL),
+        tok AS (SELECT leaf, ts, docs, unnest(range(0, len(ts))) AS p, unnest(ts) AS x FROM o),
+        com AS (SELECT leaf, p, x FROM tok GROUP BY ALL HAVING sum(docs) >= 3),
+        gen AS (SELECT tok.leaf, tok.ts, list(CASE WHEN com.p IS NOT NULL THEN tok.x ELSE '<*>' END ORDER BY tok.p) AS shape,
+                avg(CASE WHEN com.p IS NOT NULL AND tok.x <> '<*>' THEN 1.0 ELSE 0.0 END) AS kept
+                FROM tok LEFT JOIN com ON com.leaf = tok.leaf AND com.p = tok.p AND com.x = tok.x WHERE tok.docs < 3 GROUP BY tok.leaf, tok.ts),
+        tpl AS (SELECT leaf, ts, ts AS shape FROM o WHERE docs >= 3 AND len(list_filter(ts, lambda x: x <> '<*>')) >= 0.7 * len(ts)
+                UNION ALL SELECT leaf, ts, shape FROM gen WHERE kept >= 0.7),
+        pl AS (SELECT k.doc_id, k.pos, tpl.leaf, tpl.shape FROM k JOIN tpl ON tpl.leaf = k.leaf AND tpl.ts = k.ts),
+        rec AS (SELECT leaf, shape, min(doc_id) AS first_doc FROM pl GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+        gone AS (SELECT DISTINCT pl.doc_id, pl.pos FROM pl JOIN rec ON rec.leaf = pl.leaf AND rec.shape = pl.shape WHERE pl.doc_id <> rec.first_doc),
+        r AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '') AS text
+              FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id)
+        SELECT d.doc_id, CAST(coalesce(r.n_lines, 0) AS INT) AS n_lines, CAST(coalesce(r.n_dropped, 0) AS INT) AS n_dropped, r.text FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""",
 }
