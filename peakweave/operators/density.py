@@ -30,17 +30,17 @@ def dbscan_1d(counted: DataFrame, keys: Sequence[str], epsilon: int, least: str,
     """
     order = W.partitionBy(*keys).orderBy(pos)
     seen = range_neighbours(counted, keys, epsilon, pos, n).withColumn("core", F.col("neighbours") >= F.col(least))
-    at = F.when(F.col("core"), F.col(pos))
-    left = F.max(at).over(order.rowsBetween(W.unboundedPreceding, -1))
+    seen = seen.withColumn("_core", F.when(F.col("core"), F.col(pos)))
+    # the cores next to a point: offsets that skip nulls walk on from row to row, where a frame to the end would start again at each
+    along = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {pos})"
+    left, right = F.expr(f"lag(_core) IGNORE NULLS {along}"), F.expr(f"lead(_core) IGNORE NULLS {along}")
     new = F.when(F.col("core"), F.when(F.col(pos) - F.col("_left") <= epsilon, 0).otherwise(1)).otherwise(0)
-    marked = seen.withColumn("_left", left).withColumn("_new", new)
+    marked = seen.withColumns({"_left": left, "_right": right}).withColumn("_new", new)
     marked = marked.withColumn("_label", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1)
-    right = F.min(at).over(order.rowsBetween(1, W.unboundedFollowing))
-    marked = marked.withColumn("_right", right)
     reached_left, reached_right = F.col(pos) - F.col("_left") <= epsilon, F.col("_right") - F.col(pos) <= epsilon
     # a point beyond the left core's reach lies before the first core of the next label
     label = F.when(F.col("core") | reached_left, F.col("_label")).when(reached_right, F.col("_label") + 1)
-    return marked.withColumn("label", label.cast("int")).drop("_left", "_new", "_label", "_right")
+    return marked.withColumn("label", label.cast("int")).drop("_core", "_left", "_new", "_label", "_right")
 
 
 def regions(labelled: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:

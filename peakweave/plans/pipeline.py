@@ -64,7 +64,7 @@ def find(reads_: DataFrame, config: Config) -> Found:
     linked = materialise(found_paths(blocks, wholes, config), "paths")
     crossed = reads.junctions(placed).select(*CLUSTER, "junction").distinct()
     overlapped = chains.overlap_clusters(linked, crossed, config.epsilon)
-    collapsed = chains.collapse_clusters(materialise(overlapped, "chains"), wholes, config.epsilon)
+    collapsed = chains.collapse_clusters(overlapped, wholes, config.epsilon)
     return Found(found, wholes, blocks, linked, materialise(chains.transcripts(collapsed), "transcripts"))
 
 
@@ -79,10 +79,10 @@ def assigned(found: Found, exons: DataFrame, config: Config) -> tuple[DataFrame,
 def counted(reads_: DataFrame, annotation: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(transcripts, gene counts, summary) of a run with an annotation."""
     found = find(reads_, config)
-    exons = materialise(genes.exon_union(genes.gene_lines(annotation)), "exons")
+    exons = genes.exon_union(genes.gene_lines(annotation))
     tx, single = assigned(found, exons, config)
     weights = [df.select("contig", "status", "gene", "gene_strand", F.col(w).cast("double").alias("w")) for df, w in ((tx, "counts"), (single, "n"))]
-    both = materialise(weights[0].unionByName(weights[1]), "assigned")
+    both = weights[0].unionByName(weights[1])
     by_gene = assign.gene_counts(genes.gene_table(exons), both, "w")
     sums = both.agg(*(F.coalesce(F.sum(F.when(F.col("status") == s, F.col("w"))), F.lit(0.0)).alias(s) for s in ("assigned", "unassigned", "ambiguous")))
     rejects = reads.reject_summary(reads_.where("contig IS NOT NULL"), config).agg(F.sum("multimapped").alias("multimapping"), F.sum("low_quality").alias("low_quality"), F.sum("total").alias("total"))
