@@ -92,15 +92,18 @@ def ordered_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     return df.withColumn("_new", new).withColumn(out, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
 
 
-def first_ending_at_or_after(points: DataFrame, intervals: DataFrame, keys: Sequence[str], pos: str, value: str, start: str = "start", stop: str = "stop") -> DataFrame:
+def first_ending_at_or_after(points: DataFrame, intervals: DataFrame, keys: Sequence[str], pos: str, value: str, start: str = "start", stop: str = "stop", bin_width: int = BIN) -> DataFrame:
     """``points`` with ``nearest``: the value of the first interval, by start then stop then value, that ends at or after the point; null if none does.
 
-    Points and intervals are merged in one descending scan: an interval that ends later is seen earlier.
+    Points and interval ends of a bin are merged in one descending scan; the first interval of all later bins is carried in.
     """
     first = F.struct(F.col(start).alias("a"), F.col(stop).alias("b"), F.col(value).alias("v"))
     marks = intervals.select(*keys, F.col(stop).alias("_at"), F.lit(0).alias("_kind"), first.alias("_first"))
     asked = points.select(*keys, F.col(pos).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_first"].dataType).alias("_first")).distinct()
-    w = W.partitionBy(*keys).orderBy(F.desc("_at"), "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = marks.unionByName(asked).withColumn("_first", F.min("_first").over(w)).where("_kind = 1")
-    answers = seen.select(*keys, F.col("_at").alias(pos), F.col("_first.v").alias("nearest"))
+    both = marks.unionByName(asked).withColumn("_bin", _bin("_at", bin_width))
+    within = W.partitionBy(*keys, "_bin").orderBy(F.desc("_at"), "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    later = W.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(W.unboundedPreceding, -1)
+    carried = both.groupBy(*keys, "_bin").agg(F.min("_first").alias("_least")).withColumn("_later", F.min("_least").over(later)).drop("_least")
+    seen = both.withColumn("_first", F.min("_first").over(within)).where("_kind = 1").join(carried, [*keys, "_bin"])
+    answers = seen.select(*keys, F.col("_at").alias(pos), F.least("_first", "_later")["v"].alias("nearest"))
     return points.join(answers, [*keys, pos], "left")

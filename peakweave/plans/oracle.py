@@ -102,7 +102,9 @@ ORACLE_SQL = {
     "gap_islands": sql("SELECT contig, strand, island, last_anchor, read_count FROM islands"),
     "read_clusters": sql("SELECT contig, strand, cluster, start, stop, read_count FROM clusters"),
     "cluster_density": sql(f"""SELECT {KEY}, read_count, greatest(CAST(floor(read_count * ({PCT} / 100.0)) AS INT), 10) AS least FROM clusters
-        WHERE read_count >= {LEAST} AND CAST(read_count AS FLOAT) / CAST(stop - start AS FLOAT) < 1.5"""),
+        WHERE read_count >= {LEAST} AND CAST(read_count AS FLOAT) / CAST(stop - start AS FLOAT) < CAST(0.2 AS DOUBLE)"""),
+    "dense_clusters": sql(f"SELECT {KEY}, read_count FROM clusters WHERE read_count >= {LEAST} AND CAST(read_count AS FLOAT) / CAST(stop - start AS FLOAT) >= CAST(0.2 AS DOUBLE)"),
+    "block_spans": sql('SELECT contig, strand, pos, cigar, min("left") AS least, max("right") AS greatest FROM blocks GROUP BY ALL'),
     "range_neighbours": sql(f"SELECT {KEY}, pos, n, neighbours FROM left_near"),
     "dbscan_labels_left": sql(f"SELECT {KEY}, pos, n, neighbours, core, label FROM left_labels"),
     "dbscan_labels_right": sql(f"SELECT {KEY}, pos, n, neighbours, core, label FROM right_labels"),

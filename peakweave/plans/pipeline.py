@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.config import Config
@@ -30,11 +30,22 @@ def clusters_of(found: DataFrame, config: Config) -> DataFrame:
     return sessions.clusters(sessions.anchored_islands(found, config.window_size), config.window_size)
 
 
+def crowding() -> Column:
+    """Reads for each position of a cluster, in single precision."""
+    return F.col("read_count").cast("float") / (F.col("stop") - F.col("start")).cast("float")
+
+
+def too_dense(clusters: DataFrame, config: Config) -> DataFrame:
+    """The clusters of enough reads that the density threshold leaves out; none without a threshold."""
+    kept = clusters.where(F.col("read_count") >= config.least_reads)
+    return kept.where(crowding() >= config.density_threshold if config.density_threshold else F.lit(False))
+
+
 def eligible(clusters: DataFrame, config: Config) -> DataFrame:
     """Clusters of enough reads and, if there is a threshold, of a density below it, with the neighbours that make a core."""
     kept = clusters.where(F.col("read_count") >= config.least_reads)
     if config.density_threshold:
-        kept = kept.where(F.col("read_count").cast("float") / (F.col("stop") - F.col("start")).cast("float") < config.density_threshold)
+        kept = kept.where(crowding() < config.density_threshold)
     return kept.withColumn("least", density.least_neighbours(F.col("read_count"), config.count_percentage))
 
 

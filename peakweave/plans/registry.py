@@ -16,6 +16,7 @@ from peakweave.sources import annotation, derived, sinks
 from peakweave.sources.shared import materialise
 
 CONFIG = Config()
+DENSE = Config(density_threshold=0.2)
 CLUSTER = linking.CLUSTER
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,7 +78,17 @@ def read_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.eligible(read_clusters(spark, sf_dir), Config(density_threshold=1.5)).select(*CLUSTER, "read_count", "least")
+    return pipeline.eligible(read_clusters(spark, sf_dir), DENSE).select(*CLUSTER, "read_count", "least")
+
+
+def dense_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.too_dense(read_clusters(spark, sf_dir), DENSE).select(*CLUSTER, "read_count")
+
+
+def block_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least and the greatest position of each alignment's blocks."""
+    points = reads.spliced(_alignments(spark, sf_dir))
+    return points.select("contig", "strand", "pos", "cigar", F.array_min("points").alias("least"), F.array_max("points").alias("greatest"))
 
 
 def range_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +237,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        read_reject_summary, contig_catalogue, splice_blocks, splice_junctions, gap_islands, read_clusters, cluster_density, range_neighbours,
+        read_reject_summary, contig_catalogue, splice_blocks, splice_junctions, gap_islands, read_clusters, cluster_density, dense_clusters, block_spans, range_neighbours,
         dbscan_labels_left, dbscan_labels_right, dbscan_regions_left, dbscan_regions_right, peak_paths, peak_coordinates, mirror_intervals,
         path_gene_overlap, path_gene_assignment, ratio_allocation, gene_exon_union, gene_extents, annotation_lines, feature_count, strand_interleave,
         read_gene_assignment, read_status_totals, gene_read_counts, reverse_strand_counts, closest_interval, event_sessions, transcript_chains,

@@ -282,8 +282,9 @@ def test_unique_argmax(spark):
 def test_first_interval_ending_at_or_after(spark):
     spans = spark.createDataFrame([("chr1", "a", 99, 199), ("chr1", "b", 399, 499)], "contig string, v string, start int, stop int")
     points = spark.createDataFrame([("chr1", p) for p in (50, 199, 300, 600)] + [("chr2", 300)], "contig string, pos int")
-    got = {(r.contig, r.pos): r.nearest for r in intervals.first_ending_at_or_after(points, spans, ["contig"], "pos", "v").collect()}
-    assert got == {("chr1", 50): "a", ("chr1", 199): "a", ("chr1", 300): "b", ("chr1", 600): None, ("chr2", 300): None}
+    for width in (1 << 20, 64):
+        got = {(r.contig, r.pos): r.nearest for r in intervals.first_ending_at_or_after(points, spans, ["contig"], "pos", "v", bin_width=width).collect()}
+        assert got == {("chr1", 50): "a", ("chr1", 199): "a", ("chr1", 300): "b", ("chr1", 600): None, ("chr2", 300): None}
 
 
 def test_ratio_allocation_of_nothing_is_nothing(spark):
