@@ -173,8 +173,12 @@ def strand_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genes.interleaved(genes.gene_table(_exons(spark, sf_dir))).select("contig", "strand", "gene_id", "start", "place")
 
 
+def _written_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.blocks(materialise(reads.spliced(_alignments(spark, sf_dir)), "spliced"))
+
+
 def read_gene_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = assign.assign_reads(splice_blocks(spark, sf_dir), _exons(spark, sf_dir), CONFIG)
+    found = assign.assign_reads(_written_blocks(spark, sf_dir), _exons(spark, sf_dir), CONFIG)
     return found.select("contig", "strand", "pos", "cigar", "n", "status", F.col("gene.gene_id").alias("gene_id"))
 
 
@@ -184,7 +188,7 @@ def read_status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gene_read_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     exons = _exons(spark, sf_dir)
-    found = assign.assign_reads(splice_blocks(spark, sf_dir), exons, CONFIG).withColumn("gene_strand", F.col("strand"))
+    found = assign.assign_reads(_written_blocks(spark, sf_dir), exons, CONFIG).withColumn("gene_strand", F.col("strand"))
     return assign.gene_counts(genes.gene_table(exons), found, "n").select("contig", "strand", "gene_id", "reads")
 
 
