@@ -180,7 +180,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prints = materialise(wide_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     groups = materialise(prints.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "groups")
     rows = groups.where("rep IS NOT NULL").select("rep", "lo", "hi", "n", F.inline(_wide_keys()))
-    links = map_tiles(tiled(rows, ["t", "key"], "rep"), _close(radius, ("lo", "hi")), "a long, b long", ["rep"])
+    links = map_tiles(tiled(rows, ["t", "key"], "rep", prune=False), _close(radius, ("lo", "hi")), "a long, b long", ["rep"])
     found = connected_components(links, "a", "b")
     classes = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(classes, ["lo", "hi"]).select("doc_id", "component_id")

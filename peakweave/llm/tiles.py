@@ -12,28 +12,36 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakweave.llm._shared import mapped
+from peakweave.llm._shared import fits, mapped, materialise
 
 CHUNK = 1024
+#: A table of hot buckets of at most so many rows is broadcast.
+BROADCAST_ROWS = 100_000
 
 
-def tiled(rows: DataFrame, bucket: list[str], item: str, chunk: int = CHUNK) -> DataFrame:
+def tiled(rows: DataFrame, bucket: list[str], item: str, chunk: int = CHUNK, worth: Column | None = None, prune: bool = True) -> DataFrame:
     """``rows`` with ``tile`` (long, equal for rows to compare) and ``side`` (0, 1; 2 if the tile is one chunk).
 
-    Buckets of a single row are left out. ``rows`` should be cheap to read twice.
+    Buckets of a single row are left out, and those for which the aggregate ``worth`` is false; without ``prune`` they stay,
+    which saves a shuffle where they are few. Rows of a bucket of more than a chunk are found through a table of such
+    buckets, of which there are at most a chunk's share of the rows, and never meet in one task. ``rows`` should be cheap to read twice.
     """
-    sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    parts = F.ceil(F.col("_n") / chunk).cast("int")
-    out = rows.join(sizes, bucket).withColumn("_parts", parts)
-    out = out.withColumn("_own", F.pmod(F.xxhash64(item, F.lit(7)), F.col("_parts")).cast("int"))
-    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    sizes = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), (worth if worth is not None else F.lit(True)).alias("_worth"))
+    hot = materialise(sizes.where((F.col("_n") > chunk) & F.col("_worth")).drop("_worth"), "hot-buckets")
+    hot = F.broadcast(hot) if fits(hot, BROADCAST_ROWS) else hot
+    large = rows.join(hot, bucket).withColumn("_parts", F.ceil(F.col("_n") / chunk).cast("int")).drop("_n")
+    large = large.withColumn("_own", F.pmod(F.xxhash64(item, F.lit(7)), F.col("_parts")).cast("int"))
+    large = large.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
     side = F.when(low == high, 2).when(F.col("_own") == low, 0).otherwise(1)
-    tile = F.xxhash64(*bucket, low, high)
-    return out.withColumn("tile", tile).withColumn("side", side).drop("_n", "_parts", "_own", "_other")
+    large = large.select(*rows.columns, F.xxhash64(*bucket, low, high).alias("tile"), side.alias("side"))
+    small = rows.join(hot.drop("_n"), bucket, "left_anti")
+    if prune:
+        small = small.join(sizes.where((F.col("_n") > 1) & (F.col("_n") <= chunk) & F.col("_worth")).drop("_n", "_worth"), bucket)
+    return large.unionByName(small.select(*rows.columns, F.xxhash64(*bucket).alias("tile"), F.lit(2).alias("side")))
 
 
 def map_tiles(rows: DataFrame, work: Callable[[pa.Table], pa.Table | None], schema: str, order: list[str]) -> DataFrame:
