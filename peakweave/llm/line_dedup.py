@@ -77,7 +77,10 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     templates = fixed.unionByName(general)
     placed = materialise(kept.select("doc_id", "pos", "own").join(templates, "own").select("doc_id", "pos", "template"), "placed")
     often = placed.groupBy("template", "doc_id").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_docs)
-    return placed.join(often.select("template", "first_doc"), "template").select("doc_id", "pos", "template", "first_doc")
+    # written first: a join with the bare aggregate could not split a template of very many lines
+    often = materialise(often.select("template", "first_doc"), "recurring")
+    often = F.broadcast(often) if fits(often, BROADCAST_ROWS) else often
+    return placed.join(often, "template").select("doc_id", "pos", "template", "first_doc")
 
 
 def _thinned(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
