@@ -48,12 +48,16 @@ def byte_symbols() -> dict[str, int]:
 def tokenizer(path: str):
     """A function from texts to arrays of ids, as the tokenizer file at ``path`` gives without special tokens added.
 
-    The file's merges, in order of rank, run in tiktoken, which is several times as fast. Texts that hold one of the
-    file's added tokens go to the tokenizer itself.
+    The merges of a plain byte-level file, in order of rank, run in tiktoken, which is several times as fast. Texts that
+    hold one of the file's added tokens, and all texts for any other kind of file, go to the tokenizer itself.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     own = Tokenizer.from_file(path)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not model.get("dropout") and spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not plain:
+        return lambda text: np.asarray(own.encode(text, add_special_tokens=False).ids, "<u4")
     symbols = byte_symbols()
     added = [x["content"] for x in spec.get("added_tokens", ())]
     ranks = {bytes(symbols[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in added}
