@@ -179,10 +179,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spread = hashed.select("rep", "label", "dim", (F.size("buckets") / tables).cast("int").alias("probes"), each)
     where = spread.select("rep", "label", "dim", F.expr("at div probes").cast("int").alias("t"), "key", F.expr("at % probes = 0").alias("home"))
     bucket = ["label", "dim", "t", "key"]
-    where = where.groupBy(*bucket, "rep").agg(F.max("home").alias("home"))
-    shared = where.groupBy(*bucket).agg(F.max("home").alias("h"), F.count(F.lit(1)).alias("n")).where("h AND n > 1").select(*bucket)
-    meeting = materialise(where.join(shared, bucket), "meetings")
-    rows = tiled(meeting, bucket, "rep").join(hashed.select("rep", "many", "vector", "signature"), "rep").select("tile", "side", "t", "key", "home", "rep", "many", "vector", "signature")
+    meeting = materialise(where.groupBy(*bucket, "rep").agg(F.max("home").alias("home")), "meetings")
+    rows = tiled(meeting, bucket, "rep", worth=F.max("home")).join(hashed.select("rep", "many", "vector", "signature"), "rep").select("tile", "side", "t", "key", "home", "rep", "many", "vector", "signature")
     found = materialise(map_tiles(rows, _counted(threshold, tables), "a long, b long, links long", ["rep"]), "found")
     linked = connected_components(found.where("a <> b"), "a", "b").withColumnRenamed("node", "rep")
     links = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
