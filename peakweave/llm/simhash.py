@@ -8,6 +8,9 @@ Pairs that meet are verified by their Hamming distance.
 
 Documents of one fingerprint count as one. Links leave a bucket as stars, never
 as all pairs, and a hot bucket is compared tile by tile.
+
+``similar_documents`` asks for the exact similarity of shingles instead, and
+uses wide fingerprints only to spare comparisons in crowded buckets.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from peakweave.llm.components import connected_components
 from peakweave.llm.tiles import map_tiles, runs, stars, tiled
 
 SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 5, 42
-WIDE_SHINGLE, WIDE_RADIUS = 5, 23
-#: Texts of a similarity of 0.8 differ in length by a fifth at most (repeated shingles aside); distances of very short texts say less.
-LEAST_RATIO, FEW_SHINGLES, FEW_RADIUS = 0.75, 16, 10
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Sets of a similarity of 0.8 differ in about 19 of 128 bits (4 more or less), whatever their size, and unlike ones in 64: no pair so far apart is looked at.
+WIDE_RADIUS = 44
 _SLICE = 1 << 15
 _SMALL = 48
+_ROWS = 1024
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -75,19 +79,12 @@ def _keys(fp, radius: int, blocks: int) -> list:
     return [F.struct(F.lit(t).alias("t"), F.xxhash64(*(parts[k] for k in c)).alias("key")) for t, c in enumerate(chosen)]
 
 
-def _close(radius: int, halves: tuple[str, ...] = ("fp",)):
+def _close(radius: int):
     def work(rows: pa.Table) -> pa.Table | None:
-        tile, rep = rows["tile"].to_numpy(), rows["rep"].to_numpy()
-        prints = [rows[c].to_numpy().view(np.uint64) for c in halves]
-
-        n_of = rows["n"].to_numpy() if "n" in rows.column_names else None
+        tile, rep, fp = rows["tile"].to_numpy(), rows["rep"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
 
         def near(i, j) -> np.ndarray:
-            apart = sum(np.bitwise_count(fp[i] ^ fp[j]) for fp in prints)
-            if n_of is None:
-                return apart <= radius
-            less, more = np.minimum(n_of[i], n_of[j]), np.maximum(n_of[i], n_of[j])
-            return (apart <= np.where(less < FEW_SHINGLES, FEW_RADIUS, radius)) & (less >= LEAST_RATIO * more)
+            return np.bitwise_count(fp[i] ^ fp[j]) <= radius
 
         starts, sizes = runs(tile)
         a, b = [], []
@@ -134,56 +131,127 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[int, int, int]:
-    """128 bits of a whole text, as two longs, by the rules of ``fingerprint`` with 128-bit hashes, and how many shingles it has; zeros if it has no word."""
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, int, int]:
+    """The distinct shingles of a whole text, by the rules of ``fingerprint``, as sorted 64-bit hashes, and the set's 128-bit fingerprint as two longs."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, 0, 0
-    n = max(1, len(words) - shingle + 1)
+        return np.empty(0, np.int64), 0, 0
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, grams)), "<i8").reshape(-1, 2)
+    hashes, at = np.unique(digests[:, 0], return_index=True)
     ones = np.zeros(128, np.int64)
-    for at in range(0, n, _SLICE):
-        own = words[at : at + _SLICE + shingle - 1]
-        grams = map(b" ".join, zip(*(own[k:] for k in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
-        part = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, grams)), np.uint8).reshape(-1, 16)
+    for i in range(0, len(at), _SLICE):
+        part = digests[at[i : i + _SLICE]].view(np.uint8)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
-    low, high = np.packbits(2 * ones > n).view("<i8")
-    return int(low), int(high), n
+    low, high = np.packbits(2 * ones > len(at)).view("<i8")
+    return hashes, int(low), int(high)
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """``(doc_id, lo, hi, n)`` for each row."""
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """``(doc_id, own, lo, hi, shingles)`` for each row; own is a hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in found.T)], ["doc_id", "lo", "hi", "n"])
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                found = [shingle_set(x.as_py(), shingle) for x in part.column(1)]
+                ends = np.cumsum([0, *(len(h) for h, _, _ in found)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([h for h, _, _ in found])))
+                own = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h, _, _ in found], np.uint64).view(np.int64)
+                low, high = (pa.array([f[k] for f in found], pa.int64()) for k in (1, 2))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own), low, high, lists], ["doc_id", "own", "lo", "hi", "shingles"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return mapped(kept, run, "doc_id long, lo long, hi long, n long")
+    return mapped(kept, run, "doc_id long, own long, lo long, hi long, shingles array<long>")
+
+
+def _prefix(similarity: float) -> Column:
+    """So many of the least hashes of a set that two similar sets have one of them in common."""
+    n = F.size("shingles")
+    return F.slice("shingles", 1, (n - F.ceil(similarity * n - 1e-9) + 1).cast("int"))
+
+
+def _candidates(similarity: float):
+    """Pairs of a tile, of different components, that by size and fingerprint can be similar."""
+
+    def work(rows: pa.Table) -> pa.Table | None:
+        tile, own, n, of = (rows[c].to_numpy() for c in ("tile", "own", "n", "component"))
+        low, high = (rows[c].to_numpy().view(np.uint64) for c in ("lo", "hi"))
+
+        def near(i, j) -> np.ndarray:
+            apart = np.bitwise_count(low[i] ^ low[j]) + np.bitwise_count(high[i] ^ high[j])
+            return (of[i] != of[j]) & (apart <= WIDE_RADIUS) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+
+        starts, sizes = runs(tile)
+        a, b = [], []
+        run_of = np.repeat(np.arange(len(starts)), sizes)
+        small = sizes[run_of] <= _SMALL
+        for k in range(1, min(_SMALL, int(sizes.max(initial=1)))):
+            i = np.flatnonzero(small[:-k] & (run_of[:-k] == run_of[k:]))
+            i = i[near(i, i + k)]
+            a.append(i)
+            b.append(i + k)
+        for s, m in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
+            for i in range(s, s + m, 256):
+                block, others = np.arange(i, min(i + 256, s + m)), np.arange(i, s + m)
+                x, y = np.nonzero(near(block[:, None], others[None, :]) & (block[:, None] < others[None, :]))
+                a.append(block[x])
+                b.append(others[y])
+        if not a or not sum(map(len, a)):
+            return None
+        x, y = own[np.concatenate(a)], own[np.concatenate(b)]
+        pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return work
 
 
-def _wide_keys() -> Column:
-    """Each 16-bit block as it is and with one bit turned: blocks that differ in two bits at most share a key."""
-    blocks = [f"shiftrightunsigned({half}, {16 * k}) & 65535L" for half in ("lo", "hi") for k in range(4)]
-    each = [f"transform(sequence(-1, 15), i -> named_struct('t', {t}, 'key', if(i < 0, {b}, ({b}) ^ shiftleft(1L, i))))" for t, b in enumerate(blocks)]
-    return F.expr(f"concat({', '.join(each)})")
+def _similar(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Of distinct pairs ``(a, b, rep_a, rep_b)`` of sets, those of enough similarity, by the sets themselves."""
+    wanted = pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct()
+    sets = materialise(prints.select("own", "shingles").join(wanted, "own", "left_semi").groupBy("own").agg(F.first("shingles").alias("shingles")), "compared-sets")
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    same = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(same / (F.size("set_a") + F.size("set_b") - same) >= similarity).select("rep_a", "rep_b")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS) -> DataFrame:
-    """One row per document: ``doc_id, component_id``, by 128-bit fingerprints of five-word shingles.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: ``doc_id, component_id``, linked by a similarity (common shingles by all, repeats aside) of at least ``similarity``.
 
-    Texts of a shingle similarity of 0.8 differ in about 19 of 128 bits (4 more or less), unlike ones in 64: a radius of 23
-    tells them apart by distance alone. Of 8 blocks, one then differs in two bits at most. Rules as in near_duplicates.
+    Every such pair shares a hash of the prefixes of its sets, and every link is verified by the sets. A first round
+    compares each set of a bucket with one of them, another for each bucket; what it links is not compared again when a
+    second round compares the rest of all buckets pair by pair. Rules as in near_duplicates.
     """
-    if not 0 < radius < 24:
-        raise ValueError("8 blocks of which one differs in at most two bits find no more than 23")
-    prints = materialise(wide_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    groups = materialise(prints.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "groups")
-    rows = groups.where("rep IS NOT NULL").select("rep", "lo", "hi", "n", F.inline(_wide_keys()))
-    links = map_tiles(tiled(rows, ["t", "key"], "rep", prune=False), _close(radius, ("lo", "hi")), "a long, b long", ["rep"])
-    found = connected_components(links, "a", "b")
-    classes = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, ["lo", "hi"]).select("doc_id", "component_id")
+    if not 0 < similarity <= 1:
+        raise ValueError("a similarity lies between 0 and 1")
+    prints = materialise(shingle_sets(docs, id_col, text_col, shingle), "shingles")
+    first = [F.first(c).alias(c) for c in ("lo", "hi", "n", "prefix")]
+    narrow = prints.select("doc_id", "own", "lo", "hi", F.size("shingles").alias("n"), _prefix(similarity).alias("prefix"))
+    groups = materialise(narrow.groupBy("own").agg(F.min("doc_id").alias("rep"), *first), "groups")
+    named = groups.where("rep IS NOT NULL")
+    keys = named.select("own", F.explode("prefix").alias("key"))
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sharing"), F.min(F.col("own").bitwiseXOR(F.col("key"))).alias("least")).where("sharing > 1")
+    shared = materialise(keys.join(often, "key").select("key", "own", "sharing", F.col("least").bitwiseXOR(F.col("key")).alias("hub")), "shared-shingles")
+    about = named.select("own", "rep", "n", "lo", "hi")
+
+    def with_both(pairs: DataFrame) -> DataFrame:
+        return pairs.join(about.toDF("a", "rep_a", "n_a", "lo_a", "hi_a"), "a").join(about.toDF("b", "rep_b", "n_b", "lo_b", "hi_b"), "b")
+
+    hubs = shared.where("own <> hub").select(F.least("own", "hub").alias("a"), F.greatest("own", "hub").alias("b")).distinct()
+    apart = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
+    alike = (apart <= WIDE_RADIUS) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    pairs = materialise(with_both(hubs).where(alike).select("a", "b", "rep_a", "rep_b"), "pairs")
+    found = connected_components(_similar(pairs, prints, similarity), "rep_a", "rep_b")
+
+    rows = shared.where("sharing > 2").select("key", "own").join(about, "own").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = materialise(rows.select("key", "own", "n", "lo", "hi", F.coalesce("component", "rep").alias("component")), "rows")
+    tiles = tiled(rows, ["key"], "own", worth=F.min("component") < F.max("component"))
+    rest = map_tiles(tiles, _candidates(similarity), "a long, b long", ["own"]).distinct()
+    pairs = materialise(with_both(rest).select("a", "b", "rep_a", "rep_b"), "pairs")
+    links = found.toDF("rep_a", "rep_b").unionByName(_similar(pairs, prints, similarity))
+    found = connected_components(links, "rep_a", "rep_b")
+    classes = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("own", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("doc_id", "own").join(classes, "own").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

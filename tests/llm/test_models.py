@@ -110,6 +110,30 @@ def test_one_of_each_keeps_clean_documents_and_one_copy(spark):
     assert set(kept.columns) == set(_docs(spark, []).columns)
 
 
+def _similarity(a, b):
+    """Of two texts, repeated shingles aside; texts without a word are alike."""
+    x, y = (set(_shingles((t or "").encode().lower().split())) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _similar_equal_brute_force(spark, rows):
+    got = {(r.doc_id, r.component_id) for r in simhash.similar_documents(_docs(spark, rows)).collect()}
+    texts = dict(rows)
+    want = _reachable(sorted(texts), lambda a, b: _similarity(texts[a], texts[b]) >= 0.8)
+    assert got == set(want.items())
+    return want
+
+
+def test_similar_short_texts_equal_brute_force(spark):
+    rng = random.Random(14)
+    rows = _odd(random.Random(15))
+    for k in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(5 + k % 16)]
+        rows += [(1000 + 3 * k, " ".join(words)), (1001 + 3 * k, " ".join([*words, "more"])), (1002 + 3 * k, " ".join([*words[:-1], "changed"]))]
+    want = _similar_equal_brute_force(spark, rows)
+    assert sum(i != c for i, c in want.items()) > 150
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 16))
