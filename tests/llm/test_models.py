@@ -134,6 +134,22 @@ def test_similar_short_texts_equal_brute_force(spark):
     assert sum(i != c for i, c in want.items()) > 150
 
 
+def test_similar_long_texts_equal_brute_force_in_hot_buckets(spark):
+    rng = random.Random(16)
+    opening, rows = [f"o{k}" for k in range(30)], []
+    for k in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for changed in (0, 1, 3, 5, 6, 8, 10, 12, 14):  # similarities from 1 to below 0.5
+            own = list(base)
+            for at in rng.sample(range(150), changed):
+                own[at] = f"c{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(opening + own)))
+    want = _similar_equal_brute_force(spark, rows)
+    texts = dict(rows)
+    middling = [(a, b) for a in texts for b in texts if a < b and 0.6 <= _similarity(texts[a], texts[b]) < 0.8]
+    assert len(rows) > simhash._SMALL and len(middling) > 20 and 8 < len(set(want.values())) < len(rows)
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 16))
