@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from peakweave.sources.shipping import ship
 
-MAX_LABELLED, TREES, DEPTH, RATE, BINS = 20_000, 40, 3, 0.2, 32
+MAX_LABELLED, TREES, DEPTH, RATE, BINS, LEAST_SEEN = 20_000, 40, 3, 0.2, 32, 20
 
 #: (rule, verdict)
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -64,13 +64,13 @@ def suffixes(host: str) -> tuple[str, str]:
 
 
 def suffix_rates(urls: list[str], labels: np.ndarray) -> dict[str, float]:
-    """The smoothed share of blocked URLs of each suffix of one or two labels."""
+    """The smoothed share of blocked URLs of each suffix of one or two labels; of a suffix seen seldom it would only repeat the labels."""
     seen, blocked = Counter(), Counter()
     for url, label in zip(urls, labels, strict=True):
         for s in suffixes(split_url(url)[0]):
             seen[s] += 1
             blocked[s] += int(label)
-    return {s: (blocked[s] + 1) / (n + 2) for s, n in seen.items()}
+    return {s: (blocked[s] + 1) / (n + 2) for s, n in seen.items() if n >= LEAST_SEEN}
 
 
 def features(urls: Iterable[str | None], rates: dict[str, float]) -> np.ndarray:
@@ -158,25 +158,41 @@ def train_rows(rows: list[tuple[str, int]]) -> dict:
     return {"rates": rates, "trees": boost(features(urls, rates), y)}
 
 
-#: Words of hosts that a crawl does without, and of ordinary ones: seeds of labelled URLs where there are none from elsewhere.
-BLOCKED_WORDS = ("casino", "bet", "bets", "poker", "win", "free", "cheap", "pills", "loans", "crypto", "ads", "track", "click", "prize", "deal", "xxx")
-PLAIN_WORDS = ("garden", "river", "music", "school", "library", "science", "museum", "history", "travel", "kitchen", "forest", "theatre", "weather", "letters", "orchard", "station", "weaving", "teacher")
+#: Parts of made-up words, of which both kinds of URLs are written: no word tells them apart, only their manner does.
+SYLLABLES = ("ba", "dor", "fen", "gil", "hum", "jas", "kel", "lo", "mir", "nat", "ov", "pra", "qui", "ros", "sti", "tam", "ul", "ver", "wo", "yn")
+#: Forms of path segments; w is a word and d a number.
+SHAPES = ("{w}", "{w}-{w}", "{w}_{d}", "{d}", "{w}.php", "{w}{d}")
+COMMON_SUFFIXES, ODD_SUFFIXES = ("com", "net", "org", "info", "example.com", "example.net", "example.org", "de", "fr"), ("biz", "top", "click", "info", "xyz")
+#: How often a plain and a blocked URL shows each of six signs.
+SIGNS = (0.08, 0.8)
 
 
-def seed_urls(n: int = 4000, seed: int = 1) -> list[tuple[str, int]]:
-    """``n`` labelled URLs written from the seed words; both kinds share front labels, suffixes, paths and queries."""
+def seed_urls(n: int = 4000, seed: int = 1, syllables: tuple[str, ...] = SYLLABLES, shapes: tuple[str, ...] = SHAPES) -> list[tuple[str, int]]:
+    """``n`` labelled URLs, where there are no labels from elsewhere. Signs are hyphens, digits and an odd suffix in the host, a deep path, many parameters and a noisy segment; none is of one kind only."""
     rng = np.random.default_rng(seed)
     pick = lambda items: items[int(rng.integers(len(items)))]
+    word = lambda: "".join(pick(syllables) for _ in range(rng.integers(2, 5)))
+    number = lambda: str(rng.integers(1, 10 ** int(rng.integers(1, 6))))
+
+    def segment() -> str:
+        form = pick(shapes)
+        while "{w}" in form:
+            form = form.replace("{w}", word(), 1)
+        return form.replace("{d}", number())
+
     out = []
     for k in range(n):
         blocked = k % 4 == 0
-        if blocked:
-            name = f"{pick(BLOCKED_WORDS)}-{pick(BLOCKED_WORDS)}" + (f"-{pick(BLOCKED_WORDS)}" if rng.random() < 0.2 else "") + (str(rng.integers(1, 999)) if rng.random() < 0.2 else "")
-        else:
-            name = pick(PLAIN_WORDS)[: int(rng.integers(4, 9))] + (pick(PLAIN_WORDS)[: int(rng.integers(2, 6))] if rng.random() < 0.3 else "")
-        host = pick(("", "", "www.", "m.", "blog.")) + name + "." + pick(("example.com", "example.net", "example.org", "example.com"))
-        tail = pick(("", "/", ".html", "#top", "?utm_source=feed", "?page=2&ref=x"))
-        out.append((f"{pick(('http', 'https'))}://{host}/{pick(('en', 'de', 'fr', 'es'))}/{rng.integers(1, 99_999)}{tail}", int(blocked)))
+        hyphens, digits, odd, deep, many, noisy = rng.random(6) < SIGNS[blocked]
+        name = "-".join(word() for _ in range(rng.integers(3, 5) if hyphens else 2 if rng.random() < 0.3 else 1))
+        name += str(rng.integers(100, 99_999)) if digits else str(rng.integers(1, 10)) if rng.random() < 0.15 else ""
+        host = pick(("", "", "www.", "m.", "blog.")) + name + "." + pick(ODD_SUFFIXES if odd else COMMON_SUFFIXES)
+        path = [segment() for _ in range(rng.integers(4, 8) if deep else rng.integers(0, 4))]
+        if noisy:
+            path.append("".join(pick("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.integers(20, 33))))
+        query = "&".join(f"{word()}={segment()}" for _ in range(rng.integers(3, 7) if many else rng.integers(0, 2)))
+        tail = pick(("", "/")) + (f"?{query}" if query else "") + (f"#{word()}" if rng.random() < 0.15 else "")
+        out.append((f"{pick(('http', 'https'))}://{host}/{'/'.join(path)}{tail}", int(blocked)))
     return out
 
 

@@ -349,6 +349,18 @@ def test_url_trees_on_held_out_urls():
     assert (said == np.array([b for _, b in held], bool)).mean() > 0.95
 
 
+def test_url_trees_on_held_out_words_and_shapes():
+    rows = url_filter.seed_urls(4000)
+    x, y = url_filter.features([u for u, _ in rows], {}), np.array([b for _, b in rows], bool)
+    for f in (3, 7, 8, 11):  # depth, digits and hyphens of the host, parameters: in both classes
+        assert (x[y, f] > x[:, f].min()).any() and (x[~y, f] > x[:, f].min()).any() and x[~y, f].max() > np.median(x[y, f])
+    model = url_filter.train_rows(rows)
+    assert len({f for splits, _ in model["trees"]["trees"] for f, t in splits if np.isfinite(t)}) >= 6
+    held = url_filter.seed_urls(1000, 2, ("chan", "zu", "plo", "ei", "gart", "mo"), ("{w}.{w}", "{d}-{w}", "{w}~", "v{d}"))
+    said = url_filter.score(model["trees"], url_filter.features([u for u, _ in held], model["rates"])) >= 0.5
+    assert (said == np.array([b for _, b in held], bool)).mean() > 0.9
+
+
 def test_loser_tree_merges_any_runs():
     rng = random.Random(11)
     for k in range(0, 9):
