@@ -35,16 +35,15 @@ def transcript_scores(transcripts: DataFrame, exons: DataFrame, keys: list[str])
 
 
 def read_scores(blocks: DataFrame, exons: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, block_ix, gene, score``: how well each gene holds each block. blocks: ``keys, block_ix, left, right``."""
+    """``keys, block_ix, gene, score``: how well each exon of a gene holds each block. blocks: ``keys, block_ix, left, right``."""
     right = exons.select("contig", "strand", F.struct("gene_id", "run").alias("gene"), "start", "stop")
     pairs = interval_join(blocks, right, ["contig", "strand"], ("left", "right"), ("start", "stop"))
-    score = F.max(block_score(F.col("left"), F.col("right"), F.col("start"), F.col("stop")))
-    return pairs.groupBy(*keys, "block_ix", "gene").agg(score.alias("score"))
+    return pairs.select(*keys, "block_ix", "gene", block_score(F.col("left"), F.col("right"), F.col("start"), F.col("stop")).alias("score"))
 
 
-def best_genes(things: DataFrame, scores: DataFrame, keys: list[str], distinct: bool = False) -> DataFrame:
+def best_genes(things: DataFrame, scores: DataFrame, keys: list[str], row: list[str] | None = None) -> DataFrame:
     """``things`` with ``status`` (assigned, ambiguous, unassigned) and ``gene``; things that no gene meets are unassigned."""
-    found = unique_argmax(scores, keys, "score", "gene", distinct).withColumnRenamed("value", "gene").drop("best")
+    found = unique_argmax(scores, keys, "score", "gene", row or []).withColumnRenamed("value", "gene").drop("best")
     joined = things.join(found, keys, "left")
     return joined.withColumn("status", F.coalesce("status", F.lit("unassigned")))
 
@@ -54,7 +53,8 @@ def assign_reads(blocks: DataFrame, exons: DataFrame, config: Config) -> DataFra
     that a gene holds equally well make it ambiguous, unless the configuration counts genes."""
     keys = ["contig", "strand", "pos", "cigar"]
     scores = read_scores(blocks.select(*keys, "block_ix", "left", "right"), facing(exons, config), keys)
-    return best_genes(blocks.select(*keys, "n").distinct(), scores, keys, config.count_distinct_genes)
+    whole = blocks.where("block_ix = 0").select(*keys, "n")  # one row for each alignment
+    return best_genes(whole, scores, keys, [] if config.count_distinct_genes else ["block_ix"])
 
 
 def assign_transcripts(transcripts: DataFrame, exons: DataFrame, config: Config) -> DataFrame:

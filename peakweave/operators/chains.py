@@ -28,14 +28,17 @@ def _meet(x: tuple[int, int], y: tuple[int, int]) -> bool:
 def contained(inner: Chain, outer: Chain, epsilon: int | None = None) -> bool:
     """Whether ``inner`` runs along ``outer``: from its first exon that meets one of ``outer`` on, exon pairs meet in step.
 
-    An ``inner`` that is longer still counts when ``outer`` ends. Loosely (with ``epsilon``), an exon also counts at the
-    last exon of ``outer`` if it nearly touches it; strictly, one exon of ``outer`` may take in several of ``inner``.
+    An ``inner`` that is longer still counts when ``outer`` ends. Loosely (with ``epsilon``), any exon also counts at the
+    last exon of ``outer`` if the first exon of ``inner`` nearly touches that; strictly, one exon of ``outer`` may take in
+    several of ``inner``.
     """
+    (start, stop), (last_start, last_stop) = inner[0], outer[-1]
+    nearly = epsilon is not None and (abs(last_stop - start) <= epsilon or abs(last_start - stop) <= epsilon)
     at = 0
     while at < len(outer):  # the first exon of outer that inner can begin at
         if _meet(outer[at], inner[0]):
             break
-        if epsilon is not None and at == len(outer) - 1 and (abs(outer[-1][1] - inner[0][0]) <= epsilon or abs(outer[-1][0] - inner[0][1]) <= epsilon):
+        if nearly and at == len(outer) - 1:
             return True
         at += 1
     else:
@@ -46,7 +49,7 @@ def contained(inner: Chain, outer: Chain, epsilon: int | None = None) -> bool:
         if _meet(outer[at], exon):
             spans_next = epsilon is None and k + 1 < len(inner) and inner[k + 1][0] < outer[at][1]
             at += not spans_next
-        elif epsilon is not None and at == len(outer) - 1 and (abs(outer[-1][1] - exon[0]) <= epsilon or abs(outer[-1][0] - exon[1]) <= epsilon):
+        elif nearly and at == len(outer) - 1:
             at += 1
         else:
             return False

@@ -25,19 +25,21 @@ def _bin(pos: Column | str, width: int) -> Column:
 def gap_islands(points: DataFrame, keys: Sequence[str], pos: str, gap: int, bin_width: int = BIN) -> DataFrame:
     """``points`` with ``island``: the first position of the run in which no two neighbours are more than ``gap`` apart.
 
-    Points may repeat. Positions must not be null.
+    Points may repeat. Positions must not be null. Points are shuffled once: the summary of bins and the join with it
+    use the partitioning of the window.
     """
-    binned = points.withColumn("_bin", _bin(pos, bin_width))
     per_bin = [*keys, "_bin"]
     along = W.partitionBy(*keys).orderBy("_bin")
     inside = W.partitionBy(*per_bin).orderBy(pos)
-    edges = binned.groupBy(*per_bin).agg(F.max(pos).alias("_high")).withColumn("_before", F.lag("_high").over(along)).drop("_high")
-    last = F.coalesce(F.lag(pos).over(inside), F.col("_before"))
-    marked = binned.join(edges, per_bin).withColumn("_last", last).withColumn("_start", F.when(F.col("_last").isNull() | (F.col(pos) - F.col("_last") > gap), F.col(pos)))
-    starts = marked.groupBy(*per_bin).agg(F.max("_start").alias("_latest"))
-    carried = starts.withColumn("_carried", F.max("_latest").over(along.rowsBetween(W.unboundedPreceding, -1))).drop("_latest")
+    binned = points.withColumn("_bin", _bin(pos, bin_width))
+    marked = binned.withColumn("_start", F.when(F.col(pos) - F.lag(pos).over(inside) > gap, F.col(pos)))
+    bins = marked.groupBy(*per_bin).agg(F.min(pos).alias("_low"), F.max(pos).alias("_high"), F.max("_start").alias("_latest"))
+    fresh = F.col("_before").isNull() | (F.col("_low") - F.col("_before") > gap)
+    bins = bins.withColumn("_before", F.lag("_high").over(along)).withColumn("_fresh", F.when(fresh, F.col("_low")))
+    carried = F.max(F.coalesce("_latest", "_fresh")).over(along.rowsBetween(W.unboundedPreceding, -1))
+    bins = bins.select(*per_bin, F.coalesce("_fresh", carried).alias("_head"))  # the island that a bin begins in
     own = F.max("_start").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow))
-    return marked.withColumn("_own", own).join(carried, per_bin).withColumn("island", F.coalesce("_own", "_carried")).select(*points.columns, "island")
+    return marked.withColumn("_own", own).join(bins, per_bin).withColumn("island", F.coalesce("_own", "_head")).select(*points.columns, "island")
 
 
 def interval_union(intervals: DataFrame, keys: Sequence[str], start: str = "start", stop: str = "stop") -> DataFrame:
@@ -65,18 +67,17 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
     return pairs.where(meet).drop("_bin")
 
 
-def unique_argmax(scores: DataFrame, keys: Sequence[str], score: str, value: str, distinct: bool = False) -> DataFrame:
+def unique_argmax(scores: DataFrame, keys: Sequence[str], score: str, value: str, row: Sequence[str] = ()) -> DataFrame:
     """For each key ``status, best, value``: assigned if one row has the best score, ambiguous if several, unassigned if it is 0.
 
-    With ``distinct``, several rows of one value count as one.
+    Rows are told apart by ``value`` and the columns ``row``; of rows that agree in them only the best counts. It is one
+    aggregation: the best score is held by one row if the first and the last of those that hold it are the same.
     """
-    top = scores.groupBy(*keys).agg(F.max(score).alias("best"))
-    at_top = scores.join(top, list(keys)).where((F.col(score) == F.col("best")) & (F.col("best") > 0))
-    many = F.count_distinct(value) if distinct else F.count(F.lit(1))
-    held = at_top.groupBy(*keys).agg(many.alias("_n"), F.min(value).alias("_value"))
-    one = F.col("_n") == 1
-    status = F.when(F.col("_n").isNull(), "unassigned").when(one, "assigned").otherwise("ambiguous")
-    return top.join(held, list(keys), "left").select(*keys, status.alias("status"), "best", F.when(one, F.col("_value")).alias("value"))
+    held = F.struct(*row, F.col(value).alias("_value"))
+    ends = scores.groupBy(*keys).agg(F.max(F.struct(F.col(score).alias("s"), held.alias("r"))).alias("_last"), F.min(F.struct((-F.col(score)).alias("s"), held.alias("r"))).alias("_first"))
+    best, one = F.col("_last.s"), F.col("_last.r").eqNullSafe(F.col("_first.r"))
+    status = F.when(best <= 0, "unassigned").when(one, "assigned").otherwise("ambiguous")
+    return ends.select(*keys, status.alias("status"), best.alias("best"), F.when(one & (best > 0), F.col("_last.r._value")).alias("value"))
 
 
 def ratio_allocate(df: DataFrame, keys: Sequence[str], part: str, total: str, out: str = "share") -> DataFrame:

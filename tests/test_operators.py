@@ -86,7 +86,12 @@ def test_islands_do_not_depend_on_bins(spark):
     rng = random.Random(4)
     points = spark.createDataFrame([(k, rng.randrange(5000)) for k in ("x", "y") for _ in range(300)], "k string, pos int")
     wide, narrow = (sorted(map(tuple, intervals.gap_islands(points, ["k"], "pos", 20, width).collect())) for width in (1 << 20, 16))
-    assert wide == narrow
+    want, last = [], {}
+    for k, p in sorted(map(tuple, points.collect())):
+        island = last[k][1] if k in last and p - last[k][0] <= 20 else p
+        last[k] = (p, island)
+        want.append((k, p, island))
+    assert wide == narrow == want
 
 
 def _dbscan(points, eps, least):
@@ -156,6 +161,98 @@ def test_chain_overlap_golden():
     assert chains.overlapped(found, [26, 23, 10], 0, 150) == ([((4959707, 4959824), (4960962, 4961094), (4962137, 4962291))], [59])
 
 
+def _runs_along(inner, outer, eps=None):
+    """Containment said at once: the place where inner begins, then every pair in step."""
+    meet = lambda x, y: max(x[0], y[0]) <= min(x[1], y[1])
+    close = eps is not None and min(abs(outer[-1][1] - inner[0][0]), abs(outer[-1][0] - inner[0][1])) <= eps
+    last = len(outer) - 1
+    begins = [k for k, exon in enumerate(outer) if meet(exon, inner[0]) or (close and k == last)]
+    if not begins:
+        return False
+    if eps is None:
+        at = begins[0]
+        for k, exon in enumerate(inner):
+            if at > last:
+                break
+            if not meet(outer[at], exon):
+                return False
+            at += not (k + 1 < len(inner) and inner[k + 1][0] < outer[at][1])
+        return True
+    return all(meet(x, y) or (close and k == last) for k, (x, y) in enumerate(zip(outer[begins[0] :], inner, strict=False), begins[0]))
+
+
+def _joined(chains_, eps):
+    """Exons as painted positions, gaps of up to eps painted too."""
+    painted = sorted({2 * p + half for c in chains_ for a, b in c for p in range(a, b + 1) for half in ((0, 1) if p < b else (0,))})
+    out = []
+    for p in painted:
+        if out and p - out[-1][1] <= max(1, 2 * eps):
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return tuple((a // 2, b // 2) for a, b in out)
+
+
+def _settled(chains_, counts, strand, eps):
+    """Families one round after another, until a round takes nothing in."""
+    flip = lambda cs: sorted(tuple(sorted((-b, -a) for a, b in c)) for c in cs)
+    if len(chains_) < 2:
+        return list(chains_), list(counts)
+    found, changed = flip(chains_) if strand else list(chains_), True
+    while changed:
+        out, children, changed = [], set(), False
+        for i, parent in enumerate(found):
+            inside = {j for j in range(i + 1, len(found)) if found[j][0][0] <= parent[-1][1] and _runs_along(found[j], parent, eps)} if i not in children else None
+            if not inside:
+                out += [parent] if inside is not None else []
+                continue
+            children |= inside  # a child may have several parents, but is none itself
+            changed, family, again = True, [_joined([parent, found[j]], eps) for j in sorted(inside)], True
+            while again:
+                again = False
+                for i in range(len(family)):
+                    for j in range(i + 1, len(family)):
+                        if family[i] and family[j] and _runs_along(family[j], family[i], eps):
+                            family[i], family[j], again = _joined([family[i], family[j]], eps), (), True
+            out += [c for c in family if c]
+        found = out
+    found = sorted(flip(found) if strand else found)
+    if len(found) == 1:
+        return found, [sum(counts)]
+    return found, [sum(n for c, n in zip(chains_, counts, strict=True) if _runs_along(c, r)) for r in found]
+
+
+def _random_chain(rng):
+    at, out = rng.randrange(0, 500), []
+    for _ in range(rng.choice((1, 1, 2, 2, 3))):
+        out.append((at, at + rng.randrange(1, 160)))
+        at = out[-1][1] + rng.randrange(1, 220)
+    return tuple(out)
+
+
+def test_containment_equals_its_statement():
+    assert not chains.contained(((0, 100), (320, 400)), ((0, 100), (200, 300)), 50)  # the first exon is what must nearly touch
+    assert chains.contained(((340, 400),), ((0, 100), (200, 300)), 50) and not chains.contained(((351, 400),), ((0, 100), (200, 300)), 50)
+    assert chains.contained(((10, 20), (30, 40), (250, 260)), ((0, 100), (200, 300))) and not chains.contained(((10, 20), (110, 120)), ((0, 100), (200, 300)))
+    rng = random.Random(21)
+    for _ in range(20_000):
+        a, b = _random_chain(rng), _random_chain(rng)
+        for eps in (None, 0, 50):
+            assert chains.contained(a, b, eps) == _runs_along(a, b, eps), (a, b, eps)
+
+
+@pytest.mark.parametrize("strand", [0, 1])
+def test_overlap_equals_its_model(strand):
+    rng, several = random.Random(30 + strand), 0
+    for _ in range(600):
+        found = sorted({_random_chain(rng) for _ in range(rng.randrange(1, 7))})
+        counts = [rng.randrange(10, 50) for _ in found]
+        got = chains.overlapped(found, counts, strand, 50)
+        assert got == _settled(found, counts, strand, 50), found
+        several += len(got[0]) > 1
+    assert several > 100
+
+
 @pytest.mark.parametrize("strand", [0, 1])
 def test_chains_settle_and_cover_their_inputs(strand):
     rng = random.Random(strand)
@@ -277,6 +374,15 @@ def test_unique_argmax(spark):
     rows = [(1, "a", 5), (1, "b", 3), (2, "a", 5), (2, "b", 3), (2, "c", 5), (3, "a", 0), (4, "a", 2), (4, "b", 2), (4, "c", 7)]
     got = {r.k: (r.status, r.value) for r in intervals.unique_argmax(spark.createDataFrame(rows, "k int, v string, s int"), ["k"], "s", "v").collect()}
     assert got == {1: ("assigned", "a"), 2: ("ambiguous", None), 3: ("unassigned", None), 4: ("assigned", "c")}
+    rng = random.Random(8)
+    rows = sorted({(rng.randrange(60), rng.randrange(3), rng.choice("abc"), rng.randrange(4)) for _ in range(400)})
+    df = spark.createDataFrame(rows, "k int, block int, v string, s int")
+    for told_apart, by in (([], lambda b, v: v), (["block"], lambda b, v: (b, v))):
+        got = {r.k: (r.status, r.best, r.value) for r in intervals.unique_argmax(df, ["k"], "s", "v", told_apart).collect()}
+        for k in {r[0] for r in rows}:
+            best = max(s for j, _, _, s in rows if j == k)
+            held = {by(b, v): v for j, b, v, s in rows if (j, s) == (k, best)}
+            assert got[k] == (("unassigned", 0, None) if best == 0 else ("assigned", best, *held.values()) if len(held) == 1 else ("ambiguous", best, None))
 
 
 def test_first_interval_ending_at_or_after(spark):
