@@ -16,9 +16,12 @@ from peakweave.sources.shipping import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; where none is set (tests, a laptop) a temporary one is set for the session."""
+    """The shared folder; where none is set and all runs in one process (tests, a laptop), a temporary one for the session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("peakweave.shared.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("executors share no local folder: set spark.checkpoint.dir")
         found = f"file://{tempfile.mkdtemp(prefix='peakweave-')}"
         spark.conf.set("peakweave.shared.dir", found)
     return found.rstrip("/")
