@@ -9,8 +9,9 @@ Pairs that meet are verified by their Hamming distance.
 Documents of one fingerprint count as one. Links leave a bucket as stars, never
 as all pairs, and a hot bucket is compared tile by tile.
 
-``similar_documents`` asks for the exact similarity of shingles instead, and
-uses wide fingerprints only to spare comparisons in crowded buckets.
+``similar_documents`` asks for the exact similarity of shingles instead. Its
+candidates share one of the rarest shingles of their sets, and wide
+fingerprints spare comparisons in crowded buckets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakweave.llm._shared import mapped, materialise
+from peakweave.llm._shared import fits, mapped, materialise
 from peakweave.llm.components import connected_components
 from peakweave.llm.tiles import map_tiles, runs, stars, tiled
 
@@ -32,6 +33,13 @@ SHINGLE, RADIUS, BLOCKS, SEED = 3, 3, 5, 42
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Sets of a similarity of 0.8 differ in about 19 of 128 bits (4 more or less), whatever their size, and unlike ones in 64: no pair so far apart is looked at.
 WIDE_RADIUS = 44
+#: Shingles of more sets than this come last in the order of shingles, and buckets of more sets are compared by sketches. It changes how sets are compared, not what is found.
+COMMON = 64
+#: So many of the least hashes of a set are its sketch, which is all of it for texts of a few hundred words.
+SKETCH = 512
+_COLUMNS = 4096
+#: Sets, or shingles, of a table that is broadcast (8 to 40 bytes each).
+BROADCAST_ROWS = 200_000
 _SLICE = 1 << 15
 _SMALL = 48
 _ROWS = 1024
@@ -148,27 +156,60 @@ def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarr
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """``(doc_id, own, lo, hi, shingles)`` for each row; own is a hash of the set."""
+    """``(doc_id, row, own, lo, hi, shingles)`` for each row; row is a hash of the text, own one of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                found = [shingle_set(x.as_py(), shingle) for x in part.column(1)]
+                found = [shingle_set(x.as_py(), shingle) for x in part.column(2)]
                 ends = np.cumsum([0, *(len(h) for h, _, _ in found)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([h for h, _, _ in found])))
                 own = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h, _, _ in found], np.uint64).view(np.int64)
                 low, high = (pa.array([f[k] for f in found], pa.int64()) for k in (1, 2))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own), low, high, lists], ["doc_id", "own", "lo", "hi", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own), low, high, lists], ["doc_id", "row", "own", "lo", "hi", "shingles"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return mapped(kept, run, "doc_id long, own long, lo long, hi long, shingles array<long>")
+    text = F.col(text_col).cast("string")
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return mapped(kept, run, "doc_id long, row long, own long, lo long, hi long, shingles array<long>")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if fits(df, BROADCAST_ROWS) else df
+
+
+def _prefix(ordered: str, similarity: float) -> Column:
+    """So many of a set's shingles, in an order that all sets share, that two similar sets have one of them in common."""
+    n = F.size(ordered)
+    return F.slice(ordered, 1, (n - F.ceil(similarity * n - 1e-9) + 1).cast("int"))
+
+
+def _sets_of(prints: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``own, shingles`` of the sets ``(own, rep)``, from the rows of their representatives (each of its repeated rows)."""
+    return prints.select("own", F.col("doc_id").alias("rep"), "shingles").join(_small(wanted), ["own", "rep"]).select("own", "shingles")
+
+
+def _prefix_keys(prints: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """``(own, rep, key)``: the prefix of each set, rarest shingles first. named: ``own, rep, prefix`` (by hash alone).
 
+    Only common shingles need counting: those of sets that hold one of them in their prefix by hash. A shingle that is not
+    found common counts as rare, in every set alike, so the prefixes of all other sets stand as they are.
+    """
+    keys = named.select("own", "rep", F.explode("prefix").alias("key"))
+    seen = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("key"), "common-keys")
+    if fits(seen, 0):
+        return keys
+
+    def crowded_by(common: DataFrame) -> DataFrame:
+        return materialise(keys.join(_small(common.select("key")), "key").select("own", "rep").distinct(), "crowded-sets")
 
-def _prefix(similarity: float) -> Column:
-    """So many of the least hashes of a set that two similar sets have one of them in common."""
-    n = F.size("shingles")
-    return F.slice("shingles", 1, (n - F.ceil(similarity * n - 1e-9) + 1).cast("int"))
+    counted = _sets_of(prints, crowded_by(seen)).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    common = materialise(counted.where(F.col("n") > COMMON), "common-shingles")
+    crowded = crowded_by(common)
+    each = _sets_of(prints, crowded).select("own", F.explode("shingles").alias("key")).join(_small(common), "key", "left")
+    ranked = each.groupBy("own").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("ordered"))
+    again = ranked.select("own", F.explode(_prefix("ordered", similarity)).alias("k")).join(_small(crowded), "own").select("own", "rep", F.col("k.key").alias("key"))
+    return named.join(_small(crowded), ["own", "rep"], "left_anti").select("own", "rep", F.explode("prefix").alias("key")).unionByName(again)
 
 
 def _candidates(similarity: float):
@@ -206,30 +247,82 @@ def _candidates(similarity: float):
     return work
 
 
+def _sketched(similarity: float):
+    """Of a tile's sets of different components, those linked: surely, as stars, where the sketches are the whole sets; else pairs that the sketches allow by five standard deviations."""
+
+    def work(rows: pa.Table) -> pa.Table | None:
+        starts, sizes = runs(rows["tile"].to_numpy())
+        own, n, of, low, high = (rows[c].to_numpy() for c in ("own", "n", "component", "lo", "hi"))
+        low, high, sketch = low.view(np.uint64), high.view(np.uint64), rows["sketch"]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for s, m in zip(starts, sizes, strict=True):
+            maybe = np.zeros((m, m), bool)
+            rest = np.arange(s, s + m)
+            for i in range(0, m, 256):
+                at = np.arange(s + i, s + min(i + 256, m))[:, None]
+                apart = np.bitwise_count(low[at] ^ low[rest]) + np.bitwise_count(high[at] ^ high[rest])
+                maybe[i : i + 256] = (of[at] != of[rest]) & (apart <= WIDE_RADIUS) & (np.minimum(n[at], n[rest]) >= similarity * np.maximum(n[at], n[rest]) - 1e-9)
+            some = np.flatnonzero(maybe.any(axis=1))
+            if not len(some):
+                continue
+            maybe, ids, total = maybe[np.ix_(some, some)], own[s + some], n[s + some]
+            lists = [sketch[int(s + k)].values.to_numpy() for k in some]
+            sizes_ = np.array([len(x) for x in lists])
+            end = np.where(total > sizes_, np.array([x[-1] for x in lists]), np.iinfo(np.int64).max)  # up to here the sketch is whole
+            tokens, place, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+            name = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[place]
+            member, kept = np.repeat(np.arange(len(some)), sizes_), name >= 0
+            member, name = member[kept], name[kept]
+            same = np.zeros((len(some), len(some)), np.float32)
+            order = np.argsort(name, kind="stable")
+            member, name = member[order], name[order]
+            for column in range(0, int(name[-1]) + 1 if len(name) else 0, _COLUMNS):
+                a, b = np.searchsorted(name, (column, column + _COLUMNS))
+                part = np.zeros((len(some), _COLUMNS), np.float32)
+                part[member[a:b], name[a:b] - column] = 1
+                same += part @ part.T
+            upto = np.stack([np.searchsorted(x, np.minimum(own_end, end), side="right") for x, own_end in zip(lists, end, strict=True)])
+            union = upto + upto.T - same
+            whole = (total <= sizes_)[:, None] & (total <= sizes_)
+            least = np.where(whole, similarity - 1e-9, similarity - 5 * np.sqrt(similarity * (1 - similarity) / np.maximum(union, 1)))
+            maybe &= same >= least * union
+            root, other = stars(maybe & whole)
+            found.append((ids[root], ids[other], np.ones(len(root), bool)))
+            x, y = np.nonzero(np.triu(maybe & ~whole))
+            found.append((ids[x], ids[y], np.zeros(len(x), bool)))
+        if not found:
+            return None
+        a, b, sure = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure})
+
+    return work
+
+
 def _similar(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     """Of distinct pairs ``(a, b, rep_a, rep_b)`` of sets, those of enough similarity, by the sets themselves."""
-    wanted = pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct()
-    sets = materialise(prints.select("own", "shingles").join(wanted, "own", "left_semi").groupBy("own").agg(F.first("shingles").alias("shingles")), "compared-sets")
+    wanted = pairs.select(F.col("a").alias("own"), F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("b").alias("own"), F.col("rep_b").alias("rep"))).distinct()
+    sets = materialise(_sets_of(prints, materialise(wanted, "wanted-sets")).dropDuplicates(["own"]), "compared-sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     same = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(same / (F.size("set_a") + F.size("set_b") - same) >= similarity).select("rep_a", "rep_b")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: ``doc_id, component_id``, linked by a similarity (common shingles by all, repeats aside) of at least ``similarity``.
+    """One row per document: ``doc_id, row, component_id`` (row is a hash of its text), linked by a similarity (common shingles by all, repeats aside) of at least ``similarity``.
 
-    Every such pair shares a hash of the prefixes of its sets, and every link is verified by the sets. A first round
-    compares each set of a bucket with one of them, another for each bucket; what it links is not compared again when a
-    second round compares the rest of all buckets pair by pair. Rules as in near_duplicates.
+    Every such pair shares a shingle of the prefixes of its sets, and every link is verified by the sets. A first round
+    compares each set of a bucket with one of them, another for each bucket. What it links is not compared again when a
+    second round compares the rest: pair by pair in small buckets, in large ones by sketches, tile by tile, so that a
+    large family gives links but not pairs. Rules as in near_duplicates.
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity lies between 0 and 1")
     prints = materialise(shingle_sets(docs, id_col, text_col, shingle), "shingles")
     first = [F.first(c).alias(c) for c in ("lo", "hi", "n", "prefix")]
-    narrow = prints.select("doc_id", "own", "lo", "hi", F.size("shingles").alias("n"), _prefix(similarity).alias("prefix"))
+    narrow = prints.select("doc_id", "own", "lo", "hi", F.size("shingles").alias("n"), _prefix("shingles", similarity).alias("prefix"))
     groups = materialise(narrow.groupBy("own").agg(F.min("doc_id").alias("rep"), *first), "groups")
     named = groups.where("rep IS NOT NULL")
-    keys = named.select("own", F.explode("prefix").alias("key"))
+    keys = _prefix_keys(prints, named.select("own", "rep", "prefix"), similarity).select("own", "key")
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sharing"), F.min(F.col("own").bitwiseXOR(F.col("key"))).alias("least")).where("sharing > 1")
     shared = materialise(keys.join(often, "key").select("key", "own", "sharing", F.col("least").bitwiseXOR(F.col("key")).alias("hub")), "shared-shingles")
     about = named.select("own", "rep", "n", "lo", "hi")
@@ -243,21 +336,32 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = materialise(with_both(hubs).where(alike).select("a", "b", "rep_a", "rep_b"), "pairs")
     found = connected_components(_similar(pairs, prints, similarity), "rep_a", "rep_b")
 
-    rows = shared.where("sharing > 2").select("key", "own").join(about, "own").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = materialise(rows.select("key", "own", "n", "lo", "hi", F.coalesce("component", "rep").alias("component")), "rows")
-    tiles = tiled(rows, ["key"], "own", worth=F.min("component") < F.max("component"))
-    rest = map_tiles(tiles, _candidates(similarity), "a long, b long", ["own"]).distinct()
+    rows = shared.where("sharing > 2").join(about, "own").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = materialise(rows.select("key", "own", "sharing", "n", "lo", "hi", "rep", F.coalesce("component", "rep").alias("component")), "rows")
+    differ = F.min("component") < F.max("component")
+    few = tiled(rows.where(F.col("sharing") <= COMMON).drop("sharing", "rep"), ["key"], "own", worth=differ)
+    rest = map_tiles(few, _candidates(similarity), "a long, b long", ["own"])
+    crowded = rows.where(F.col("sharing") > COMMON).drop("sharing")
+    worth = materialise(crowded.groupBy("key").agg(differ.alias("differ")).where("differ").select("key"), "mixed-buckets")
+    crowded = crowded.join(_small(worth), "key")
+    sketches = _sets_of(prints, materialise(crowded.select("own", "rep").distinct(), "crowded-sets")).select("own", F.slice("shingles", 1, SKETCH).alias("sketch")).dropDuplicates(["own"])
+    many = tiled(crowded.drop("rep"), ["key"], "own", prune=False).join(materialise(sketches, "sketches"), "own")
+    told = materialise(map_tiles(many, _sketched(similarity), "a long, b long, sure boolean", ["own"]).distinct(), "sketched")
+    rest = rest.unionByName(told.where("NOT sure").select("a", "b")).distinct()
     pairs = materialise(with_both(rest).select("a", "b", "rep_a", "rep_b"), "pairs")
-    links = found.toDF("rep_a", "rep_b").unionByName(_similar(pairs, prints, similarity))
+    links = found.toDF("rep_a", "rep_b").unionByName(_similar(pairs, prints, similarity)).unionByName(with_both(told.where("sure")).select("rep_a", "rep_b"))
     found = connected_components(links, "rep_a", "rep_b")
     classes = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("own", F.coalesce("component", "rep").alias("component_id"))
-    return prints.select("doc_id", "own").join(classes, "own").select("doc_id", "component_id")
+    return prints.select("doc_id", "row", "own").join(classes, "own").select("doc_id", "row", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that are similar, directly or by others, to one of a smaller id.
 
-    All columns stay, and so do repeated rows of a kept id and rows without an id.
+    All columns stay. Rows are told apart by id and text: repeated rows of a kept one stay, one text of an id may go while
+    another stays, and rows without an id stay. Null, empty and blank texts are copies of one another.
     """
-    gone = similar_documents(docs, id_col, text_col, **how).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone.hint("merge"), id_col, "left_anti")
+    gone = similar_documents(docs, id_col, text_col, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__pw_id"), F.col("row").alias("__pw_row")).distinct()
+    gone = _small(materialise(gone, "copies"))
+    same = (docs[f"`{id_col}`"].cast("long") == F.col("__pw_id")) & (F.xxhash64(docs[f"`{text_col}`"].cast("string")) == F.col("__pw_row"))
+    return docs.join(gone, same, "left_anti")

@@ -116,6 +116,14 @@ def _similarity(a, b):
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def test_one_of_each_tells_rows_of_an_id_apart(spark):
+    a, b = _text(random.Random(40), 80), _text(random.Random(41), 80)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + " more"), (4, None), (5, " "), (None, a)]
+    kept = simhash.one_of_each(_docs(spark, rows).withColumn("__pw_x", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("row", F.lit(3)))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, a), (2, b), (2, b), (4, None), (None, a)]))
+    assert simhash.one_of_each(_docs(spark, [])).count() == 0
+
+
 def _similar_equal_brute_force(spark, rows):
     got = {(r.doc_id, r.component_id) for r in simhash.similar_documents(_docs(spark, rows)).collect()}
     texts = dict(rows)
@@ -150,6 +158,21 @@ def test_similar_long_texts_equal_brute_force_in_hot_buckets(spark):
     assert len(rows) > simhash._SMALL and len(middling) > 20 and 8 < len(set(want.values())) < len(rows)
 
 
+@pytest.mark.parametrize("n", [120, 700])
+def test_similar_families_equal_brute_force(spark, n):
+    """More sets than a bucket compares pair by pair, of one base and on both sides of the threshold; sketches hold the short ones whole."""
+    rng = random.Random(n)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(n)], []
+    for k in range(simhash.COMMON + 30):
+        own = list(base)
+        for at in rng.sample(range(n), rng.randrange(n // 120, n // 40 + 1)):
+            own[at] = f"c{rng.randrange(5000)}"
+        rows.append((k, " ".join(own)))
+    rows += [(500 + k, f"{' '.join(base[:40])} {_text(random.Random(k), 60)}") for k in range(simhash.COMMON + 6)]  # a passage that many share
+    want = _similar_equal_brute_force(spark, rows)
+    assert 2 < sum(c == i for i, c in want.items() if i < 500) < simhash.COMMON
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(12, 16))
