@@ -88,20 +88,20 @@ ORACLE_SQL: dict[str, str] = {
     "op8_log_template_line_dedup": """
         WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
         l AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM raw),
-        t AS (SELECT doc_id, pos, list_transform(string_split(trim(line, chr(32) || chr(9) || chr(13)), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS ts
-              FROM l WHERE trim(line, chr(32) || chr(9) || chr(13)) <> ''),
-        k AS (SELECT doc_id, pos, ts, (len(ts), ts[1], ts[2], ts[3]) AS leaf FROM t WHERE len(ts) >= 3),
-        o AS (SELECT leaf, ts, count(DISTINCT doc_id) AS docs FROM k GROUP BY ALL),
-        tok AS (SELECT leaf, ts, docs, unnest(range(0, len(ts))) AS p, unnest(ts) AS x FROM o),
+        raw_t AS (SELECT doc_id, pos, string_split(trim(line, chr(32) || chr(9) || chr(13)), ' ') AS us FROM l WHERE trim(line, chr(32) || chr(9) || chr(13)) <> ''),
+        t AS (SELECT doc_id, pos, us, list_transform(us, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS ms FROM raw_t WHERE len(us) >= 3),
+        k AS (SELECT doc_id, pos, (len(ms), ms[1], ms[2], ms[3]) AS leaf, len(list_filter(ms, lambda x: x <> '<*>')) >= 0.7 * len(ms) AS firm,
+              CASE WHEN len(list_filter(ms, lambda x: x <> '<*>')) >= 0.7 * len(ms) THEN ms ELSE us END AS ts FROM t),
+        o AS (SELECT leaf, firm, ts, count(DISTINCT doc_id) AS docs FROM k GROUP BY ALL),
+        tok AS (SELECT leaf, ts, docs, unnest(range(0, len(ts))) AS p, unnest(ts) AS x FROM o WHERE firm),
         com AS (SELECT leaf, p, x FROM tok GROUP BY ALL HAVING sum(docs) >= 3),
         gen AS (SELECT tok.leaf, tok.ts, list(CASE WHEN com.p IS NOT NULL THEN tok.x ELSE '<*>' END ORDER BY tok.p) AS shape,
                 avg(CASE WHEN com.p IS NOT NULL AND tok.x <> '<*>' THEN 1.0 ELSE 0.0 END) AS kept
                 FROM tok LEFT JOIN com ON com.leaf = tok.leaf AND com.p = tok.p AND com.x = tok.x WHERE tok.docs < 3 GROUP BY tok.leaf, tok.ts),
-        tpl AS (SELECT leaf, ts, ts AS shape FROM o WHERE docs >= 3 AND len(list_filter(ts, lambda x: x <> '<*>')) >= 0.7 * len(ts)
-                UNION ALL SELECT leaf, ts, shape FROM gen WHERE kept >= 0.7),
-        pl AS (SELECT k.doc_id, k.pos, tpl.leaf, tpl.shape FROM k JOIN tpl ON tpl.leaf = k.leaf AND tpl.ts = k.ts),
-        rec AS (SELECT leaf, shape, min(doc_id) AS first_doc FROM pl GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
-        gone AS (SELECT DISTINCT pl.doc_id, pl.pos FROM pl JOIN rec ON rec.leaf = pl.leaf AND rec.shape = pl.shape WHERE pl.doc_id <> rec.first_doc),
+        tpl AS (SELECT leaf, firm, ts, ts AS shape FROM o WHERE docs >= 3 UNION ALL SELECT leaf, true, ts, shape FROM gen WHERE kept >= 0.7),
+        pl AS (SELECT k.doc_id, k.pos, tpl.leaf, tpl.firm, tpl.shape FROM k JOIN tpl ON tpl.leaf = k.leaf AND tpl.firm = k.firm AND tpl.ts = k.ts),
+        rec AS (SELECT leaf, firm, shape, min(doc_id) AS first_doc FROM pl GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+        gone AS (SELECT DISTINCT pl.doc_id, pl.pos FROM pl JOIN rec ON rec.leaf = pl.leaf AND rec.firm = pl.firm AND rec.shape = pl.shape WHERE pl.doc_id <> rec.first_doc),
         r AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (gone.pos IS NULL), '') AS text
               FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id)
         SELECT d.doc_id, CAST(coalesce(r.n_lines, 0) AS INT) AS n_lines, CAST(coalesce(r.n_dropped, 0) AS INT) AS n_dropped, r.text FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id""",

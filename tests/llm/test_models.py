@@ -320,6 +320,21 @@ def test_line_templates(spark):
     assert line_dedup.line_report(_docs(spark, [])).count() == 0
 
 
+def test_repeated_rows_change_no_line(spark):
+    shared = [(1, "p q r a b c d e f g 1"), (2, "p q r a b c d e f g 2"), (3, "p q r a b c d e f g 3"), (4, "p q r k l m n o s t 4"), (5, "p q r k l m n o s t 5")]
+    table = "12 13 14 15 total of 16 17"  # more fields than a template may have: it recurs word for word only
+    rows = shared + [(10 + k, f"{table}\n{21 + k} 22 23 24 total of 25 26\n{'abcd'[k]}{k} 1 2 3 of their own") for k in range(4)]
+    once = {(r.doc_id, r.text, r.n_dropped) for r in line_dedup.line_report(_docs(spark, rows)).collect()}
+    assert {i: n for i, _, n in once} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0, 10: 0, 11: 1, 12: 1, 13: 1}
+    twice = line_dedup.line_report(_docs(spark, rows + rows)).collect()
+    assert len(twice) == 2 * len(rows) and {(r.doc_id, r.text, r.n_dropped) for r in twice} == once
+    again = [(2, "a text of its own\nin two lines here"), (3, "a text of its own\nand another line here")]  # further texts of known ids
+    got = {(r.doc_id, r.text) for r in line_dedup.line_report(_docs(spark, rows + again)).collect()}
+    assert got == {(i, t) for i, t, _ in once} | set(again)
+    clash = _docs(spark, rows).selectExpr("*", "1 AS row", "2 AS pos", "3 AS line", "4 AS leaf", "5 AS first_doc")
+    assert {(r.doc_id, r.text) for r in line_dedup.without_recurring(clash).collect()} == {(i, t) for i, t, _ in once}
+
+
 def test_quality_tells_junk_on_held_out_documents(spark):
     rng = random.Random(9)
     rows, labels = [], []
