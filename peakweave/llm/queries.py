@@ -78,8 +78,10 @@ ORACLE_SQL: dict[str, str] = {
         ip AS (SELECT item_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS j FROM i WHERE len(ws) > 0),
         ds AS (SELECT doc_id, pos, greatest(len(ws) - 4, 1) AS size, CASE WHEN len(ws) >= 5 THEN '' ELSE 'whole ' END || array_to_string(ws[pos + 1 : pos + 5], ' ') AS sh FROM dp),
         sh AS (SELECT item_id, j, greatest(len(ws) - 4, 1) AS m, CASE WHEN len(ws) >= 5 THEN '' ELSE 'whole ' END || array_to_string(ws[j + 1 : j + 5], ' ') AS sh FROM ip),
-        c AS (SELECT DISTINCT ds.doc_id, sh.item_id, sh.m, least(sh.m, ds.size) AS w, greatest(0, least(ds.pos - sh.j, ds.size - sh.m)) AS start FROM ds JOIN sh USING (sh)),
-        win AS (SELECT c.doc_id, c.item_id, c.start, c.m, c.w, ds.sh, count(*) AS k FROM c JOIN ds ON ds.doc_id = c.doc_id AND ds.pos >= c.start AND ds.pos < c.start + c.w GROUP BY ALL),
+        mine AS (SELECT DISTINCT item_id, m, sh FROM sh),
+        hit AS (SELECT ds.doc_id, mine.item_id, mine.m, least(mine.m, ds.size) AS w, ds.size, ds.pos, ds.sh FROM ds JOIN mine USING (sh)),
+        every AS (SELECT doc_id, item_id, m, w, sh, unnest(range(greatest(0, pos - w + 1), least(pos, size - w) + 1)) AS start FROM hit),
+        win AS (SELECT doc_id, item_id, start, m, w, sh, count(*) AS k FROM every GROUP BY ALL),
         it AS (SELECT item_id, sh, count(*) AS k FROM sh GROUP BY ALL),
         same AS (SELECT win.doc_id, win.item_id, win.start, win.m, win.w, sum(least(win.k, it.k)) AS s FROM win JOIN it ON it.item_id = win.item_id AND it.sh = win.sh GROUP BY ALL),
         leak AS (SELECT doc_id, item_id, max(s / (m + w - s)) AS similarity FROM same WHERE s / (m + w - s) >= 0.8 GROUP BY ALL),

@@ -282,9 +282,14 @@ def test_decontamination_equals_brute_force(spark):
     edited = items[3][1].split()
     edited[2] = "changed"
     rows = _odd(rng) + [(100 + k, f"{filler(20 + k)}\n{(t or '').upper()}  {filler(9)}") for k, (_, t) in enumerate(items)]
+    long = [f"w{rng.randrange(900)}" for _ in range(104)]
+    items.append((20, " ".join(long)))
+    swapped = " ".join([filler(30), *long[52:], *long[:52], filler(31)])  # a window of similarity 0.92 that begins in no run of the item's shingles
+    spread = [*long[:2], "changed", *long[3:40], "put", "in", *long[40:70], "more", *long[70:]]
+    rows += [(300, swapped), (300, filler(25)), (301, " ".join(spread)), (302, " ".join(long[60:])), (303, f"{filler(12)} {' '.join(long[:100])}")]
     rows += [(200, items[3][1]), (201, " ".join(edited)), (202, items[2][1] + " " + items[1][1]), (203, items[5][1]), (204, "x " + items[5][1]), (205, "same " * 40), (200, items[3][1]), (None, items[0][1])]
     got = {(r.doc_id, r.contaminated, r.n_items) for r in decontamination.contamination(_docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = set()
+    verdicts = []
     for i, t in rows:
         s, hits = _shingles((t or "").lower().split()), set()
         for k, item in items:
@@ -295,11 +300,14 @@ def test_decontamination_equals_brute_force(spark):
                 same = sum((a & mine).values())
                 if same / (sum(a.values()) + m - same) >= 0.8:
                     hits.add(k)
-        want.add((i, bool(hits), len(hits)))
+        verdicts.append((i, bool(hits), len(hits)))
+    want = set(verdicts)
     assert got == want
-    clean = decontamination.clean_documents(_docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
-    gone = {i for i, bad, _ in want if bad}
-    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in rows if i not in gone)
+    assert (300, True, 1) in want and (300, False, 0) in want and (302, False, 0) in want
+    clash = _docs(spark, rows).selectExpr("*", "1 AS _gone", "2 AS row", "3 AS start", "4 AS item_id", "5 AS words")
+    clean = decontamination.clean_documents(clash, spark.createDataFrame(items, "item_id long, text string"))
+    bad = {(r[0], t) for r, t in zip(verdicts, (t for _, t in rows), strict=True) if r[1]}
+    assert clean.columns == clash.columns and sorted(str((r.doc_id, r.text)) for r in clean.collect()) == sorted(str(x) for x in rows if x not in bad)
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontamination.contamination(_docs(spark, rows), none).collect())
     assert decontamination.contamination(_docs(spark, []), none).count() == 0
