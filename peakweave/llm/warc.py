@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from peakweave.llm._shared import fits, mapped, materialise, shared_path
 
 MIN_SHARED, ROLL_BYTES, FAN_IN, RANGE_ROWS, BATCH_ROWS, BROADCAST_ROWS = 100, 512 << 20, 64, 1_000_000, 4096, 200_000
-EPOCH = 1_700_000_000
+#: Where captures have no time, one is made up of the id: so many seconds from here on.
+EPOCH, SPAN = 1_700_000_000, 100_000_000
+#: Marks of a run, however short, from which ranges are cut; a long one has eight for each range's worth of rows. A range of fewer rows than LEAST_RANGE is not worth a task.
+MARKS, LEAST_RANGE = 2, 4096
 
 INDEX = pa.schema([("key", pa.string()), ("timestamp", pa.int64()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
@@ -68,9 +71,10 @@ def record(page_id: int | None, url: str | None, timestamp: int, payload: bytes,
 
 
 def _iso(timestamp: int) -> str:
+    """The nearest date that has four digits of a year."""
     from datetime import UTC, datetime
 
-    return datetime.fromtimestamp(timestamp, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return datetime.fromtimestamp(min(max(timestamp, 0), 253_402_300_799), UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def _headers(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -186,14 +190,15 @@ def read_run(path: str, low: tuple | None = None, high: tuple | None = None) ->
 
 
 def _manifest(path: str, rows: list[tuple], step: int) -> tuple[str, int, list[str]]:
-    """A run's path, its length, and its rows at every ``step``th place (as text), from which ranges are cut."""
+    """A run's path, its length, and rows from evenly spaced places (as text), from which ranges are cut."""
     import json
 
-    return path, len(rows), [json.dumps(r) for r in rows[step // 2 :: step]]
+    marks = min(len(rows), max(MARKS, len(rows) // step))
+    return path, len(rows), [json.dumps(rows[(2 * k + 1) * len(rows) // (2 * marks)]) for k in range(marks)]
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, sample_step: int = RANGE_ROWS // 8) -> DataFrame:
-    """Writes rows ``page_id, url, payload, digest, refers_to, revisit``; gives ``run, n, samples``, a row for each archive."""
+    """Writes rows ``page_id, url, payload, digest, refers_to, revisit, timestamp``; gives ``run, n, samples``, a row for each archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = store = None
@@ -209,14 +214,13 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
             out, rows = None, []
 
         for batch in batches:
-            for r in zip(*(batch.column(k) for k in range(6)), strict=True):
-                page, url, payload, digest, refers, revisit = (x.as_py() for x in r)
+            for r in zip(*(batch.column(k) for k in range(7)), strict=True):
+                page, url, payload, digest, refers, revisit, timestamp = (x.as_py() for x in r)
                 if out is None:
                     path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     store, name = _opened(path)
                     store.create_dir(name.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(name, compression=None)
-                timestamp = EPOCH + (page or 0)
                 squeeze = zlib.compressobj(5, zlib.DEFLATED, 31)
                 member = squeeze.compress(record(page, url, timestamp, payload, digest, refers, revisit)) + squeeze.flush()
                 rows.append(_order((url_key(url), timestamp, page, path, out.tell(), len(member))))
@@ -233,7 +237,8 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
 def merged_index(spark: SparkSession, runs: list[tuple[str, int, list[str]]], folder: str, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The captures of all runs: ``range_id, position`` (their global order) and the columns of the index.
 
-    runs: path, length and samples of each, one for each archive. A key with many captures may span ranges.
+    runs: path, length and samples of each, one for each archive. Ranges have about ``range_rows`` captures, fewer where
+    there would be no task for every core. A key with many captures may span ranges.
     """
     import json
 
@@ -254,9 +259,14 @@ def merged_index(spark: SparkSession, runs: list[tuple[str, int, list[str]]], fo
         samples = [sum((r[2] for r in runs[k : k + fan_in]), []) for k in range(0, len(runs), fan_in)]
         runs = [(*made[out], s) for (_, out), s in zip(groups, samples, strict=True)]
     total = sum(n for _, n, _ in runs)
-    marks = sorted(tuple(json.loads(s)) for r in runs for s in r[2])
-    wanted = max(1, min(-(-total // range_rows), len(marks) + 1))
-    cuts = [json.dumps(marks[len(marks) * k // wanted]) for k in range(1, wanted)]
+    marks = sorted((tuple(json.loads(s)), n / len(found)) for _, n, found in runs for s in found)  # each stands for its share of the run
+    wanted = max(1, -(-total // range_rows), min(spark.sparkContext.defaultParallelism, total // LEAST_RANGE))
+    cuts, held = [], 0.0
+    for (mark, _), (_, before) in zip(marks[1:], marks, strict=False):
+        held += before
+        if held >= (len(cuts) + 1) * total / wanted and len(cuts) + 1 < wanted:
+            cuts.append(json.dumps(mark))
+    wanted = len(cuts) + 1
     paths = spark.sparkContext.broadcast([p for p, _, _ in runs])  # no more than the fan-in
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,23 +314,29 @@ def read_archives(index: DataFrame) -> DataFrame:
     return mapped(places, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_shared: int = MIN_SHARED, folder: str | None = None) -> tuple[DataFrame, str]:
+def archive(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, min_shared: int = MIN_SHARED, folder: str | None = None, **how
+) -> tuple[DataFrame, str]:
     """Archives ``pages`` and gives their merged index and the folder that holds them.
 
     Of records with equal payloads of ``min_shared`` bytes or more, that of the smallest id is the response (each of its
     repeated rows too) and the others are revisits; a record without an id is a revisit if any with one has its payload.
-    A null payload is empty, a null URL has the empty key. An empty table gives no archive and an empty index.
+    A null payload is empty, a null URL has the empty key. An empty table gives no archive and an empty index. Captures are
+    timed by ``time_col`` (seconds since 1970, or a timestamp; null is 0); without one, as ``pages`` has none, the time is
+    made up of the id, and a null id counts as 0. Other columns are not read.
     """
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    page = F.col(id_col).cast("long")
+    when = F.coalesce(F.col(time_col).cast("long"), F.lit(0)) if time_col else F.lit(EPOCH) + F.pmod(F.coalesce(page, F.lit(0)), F.lit(SPAN))
+    own = pages.select(page.alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), when.cast("long").alias("timestamp"))
     own = own.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("bytes"))
     first = own.where(F.col("bytes") >= min_shared).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first")
     first = materialise(first, "payloads")
     first = F.broadcast(first) if fits(first, BROADCAST_ROWS) else first
     rows = own.join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = rows.select("page_id", "url", F.encode("payload", "UTF-8").alias("payload"), "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    rows = rows.select("page_id", "url", F.encode("payload", "UTF-8").alias("payload"), "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"), "timestamp")
     runs = [tuple(r) for r in write_archives(rows, folder).collect()]  # a row for each archive, however many its records
-    return materialise(merged_index(spark, [(p, n, list(s)) for p, n, s in runs], folder), "captures"), folder
+    return materialise(merged_index(spark, [(p, n, list(s)) for p, n, s in runs], folder, **how), "captures"), folder

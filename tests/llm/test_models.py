@@ -430,10 +430,26 @@ def test_archives_round_trip_in_one_order(spark, tmp_path):
         assert tuple(got[k]) == (k, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first[html] if again else None)
     order = [(r.key, r.timestamp, r.page_id) for r in index.orderBy("range_id", "position").collect()]
     assert order == sorted(order) and len(order) == 60
+    odd = [(10**15, "http://c.example.org/", big, 3), (-7, None, big, None), (-7, None, big, None), (-(1 << 63), "http://d.example.org/", "x" * 200, 1 << 62), ((1 << 63) - 1, "", "x" * 200, -5), (None, "", big, 9)]
+    table = spark.createDataFrame([(*r[:3], r[3], "f", "d", 1) for r in odd], "page_id long, url string, html string, seen long, first string, digest string, n int")
+    for time_col in (None, "seen"):
+        index, _ = warc.archive(table.repartition(3), time_col=time_col, folder=f"file://{tmp_path}/{time_col}")
+        kinds = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.read_archives(index).collect())
+        assert kinds == sorted([(str(10**15), "revisit", -7), ("-7", "response", None), ("-7", "response", None), (str(-(1 << 63)), "response", None), (str((1 << 63) - 1), "revisit", -(1 << 63)), ("None", "revisit", -7)])
+        if time_col:
+            assert sorted(r.timestamp for r in index.collect()) == sorted(r[3] or 0 for r in odd)
     none, _ = warc.archive(pages.where("page_id < 0"), folder=f"file://{tmp_path}/e")
     assert none.count() == 0 and warc.read_archives(none).count() == 0
 
 
+def test_short_archives_are_merged_in_ranges(spark, tmp_path):
+    pages = spark.range(20_000).selectExpr("id AS page_id", "concat('http://h', id % 977, '.example.org/', id) AS url", "'x' AS html").repartition(6)
+    index, _ = warc.archive(pages, folder=f"file://{tmp_path}/r")
+    sizes = [r["count"] for r in index.groupBy("range_id").count().collect()]
+    order = [(r.key, r.timestamp, r.page_id) for r in index.orderBy("range_id", "position").collect()]
+    assert len(sizes) == 4 and max(sizes) < 10_000 and order == sorted(order) and len(order) == 20_000
+
+
 def test_many_runs_merge_in_passes_and_ranges(spark, tmp_path):
     rng = random.Random(13)
     runs, rows = [], []
