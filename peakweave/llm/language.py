@@ -1,7 +1,9 @@
 """Language identification by hierarchical discrimination.
 
-Linear support vector machines, one against one, first tell the families of the
-learned languages apart, then the languages of the family that won. A text is a
+Linear support vector machines first tell the families of the learned languages
+apart, each against the rest, then, one against one, the languages of the
+family that won. So there are as many machines as families and, in a family, as
+pairs of its languages, however many languages are learned. A text is a
 bag of hashed byte trigrams of its letters. Training takes a bounded sample of
 each language; prediction reads every text whole.
 """
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from peakweave.llm._shared import mapped
 from peakweave.llm.quality import trigram_counts
 
-#: Bounds of the fit: texts of a language, languages, hashed trigrams.
-MAX_PER_LANGUAGE, MAX_LANGUAGES, TERMS = 800, 500, 4096
+#: Bounds of the fit: texts of a language, of all languages (but 50 of each at least), languages, hashed trigrams.
+MAX_PER_LANGUAGE, MAX_TAUGHT, MAX_LANGUAGES, TERMS = 800, 16_000, 500, 4096
 SEED = 7
 _BLOCK = 256
 
@@ -80,9 +82,26 @@ def one_against_one(x: np.ndarray, names: np.ndarray) -> tuple[list[str], np.nda
     return classes, np.array(found, np.float32).reshape(len(found), x.shape[1])
 
 
+def one_against_rest(x: np.ndarray, names: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Sorted class names, and a machine for each of them; a class alone needs none."""
+    classes = sorted(set(names))
+    found = [svm(x, np.where(names == c, 1, -1).astype(np.float32)) for c in classes if len(classes) > 1]
+    return classes, np.array(found, np.float32).reshape(len(found), x.shape[1])
+
+
 def fit(x: np.ndarray, langs: np.ndarray) -> dict:
     family = np.array([family_of(v) for v in langs], object)
-    return {"families": one_against_one(x, family), "languages": {f: one_against_one(x[family == f], langs[family == f]) for f in sorted(set(family))}}
+    return {"families": one_against_rest(x, family), "languages": {f: one_against_one(x[family == f], langs[family == f]) for f in sorted(set(family))}}
+
+
+def widest(classes: list[str], machines: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of the widest margin as an index (the first if even), and its share of a soft vote."""
+    if len(classes) == 1:
+        return np.zeros(len(x), int), np.ones(len(x))
+    margin = (x @ machines.T).astype(np.float64)
+    best = margin.argmax(axis=1)
+    share = np.exp(4 * np.clip(margin - margin.max(axis=1, keepdims=True), -100, 0))
+    return best, 1 / share.sum(axis=1)
 
 
 def decide(classes: list[str], machines: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +131,7 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray
     if families and lettered.any():
         rows = np.flatnonzero(lettered)
         x = vectors([texts[i] for i in rows])
-        family, sure = decide(families, machines, x)
+        family, sure = widest(families, machines, x)
         for k, name in enumerate(families):
             own = np.flatnonzero(family == k)
             if len(own):
@@ -124,17 +143,23 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray
 
 
 def training_sample(docs: DataFrame, bound: int = MAX_PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors and languages of about ``bound`` texts of each language outside the held-out fold, chosen by a hash of the id."""
+    """Vectors and languages of about ``bound`` texts of each language outside the held-out fold, chosen by a hash of the id.
+
+    With many languages there are fewer of each, ``MAX_TAUGHT`` in all. Of several texts of an id and language, that of
+    least hash teaches, however often rows are repeated. More than ``MAX_LANGUAGES`` languages are an error.
+    """
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    counts = {r.lang: r["count"] for r in own.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return np.zeros((0, TERMS + 1), np.float32), np.array([], object)
+    bound = min(bound, max(50, MAX_TAUGHT // len(counts)))
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, bound / n) * 1_000_000)).otherwise(share)
     taught = own.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < share).select("doc_id", "lang", "text")
+    taught = taught.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -143,7 +168,7 @@ def training_sample(docs: DataFrame, bound: int = MAX_PER_LANGUAGE) -> tuple[np.
                 found = vectors(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([v.astype(np.float16).tobytes() for v in found], pa.binary())], ["doc_id", "lang", "vector"])
 
-    got = sorted((r.lang, r.doc_id, bytes(r.vector)) for r in mapped(taught, run, "doc_id long, lang string, vector binary").limit(2 * bound * len(counts)).collect())
+    got = sorted((r.lang, r.doc_id, bytes(r.vector)) for r in mapped(taught, run, "doc_id long, lang string, vector binary").collect())
     x = np.array([np.frombuffer(v, np.float16) for _, _, v in got], np.float32).reshape(len(got), TERMS + 1)
     return x, np.array([lang for lang, _, _ in got], object)
 

@@ -44,6 +44,15 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _ranked_by_id(model: dict, added: list[str]) -> bool:
+    """Whether ids grow in the order of merges, so that an id can stand for the rank of the merge that makes it, and every byte has one."""
+    made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    single = [model["vocab"].get(c) for c in byte_symbols()]
+    rest = len(model["vocab"]) - sum(x in model["vocab"] for x in added)
+    known = None not in made and None not in single
+    return known and all(a < b for a, b in zip(made, made[1:], strict=False)) and max(single) < min(made, default=1 << 40) and rest == len(made) + len(single)
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     """A function from texts to arrays of ids, as the tokenizer file at ``path`` gives without special tokens added.
@@ -60,7 +69,9 @@ def tokenizer(path: str):
         return lambda text: np.asarray(own.encode(text, add_special_tokens=False).ids, "<u4")
     symbols = byte_symbols()
     added = [x["content"] for x in spec.get("added_tokens", ())]
-    ranks = {bytes(symbols[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in added}
+    if not _ranked_by_id(model, added):
+        return lambda text: np.asarray(own.encode(text, add_special_tokens=False).ids, "<u4")
+    ranks = {bytes(symbols[c] for c in token): rank for token, rank in model["vocab"].items() if token not in added}
     fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
@@ -153,8 +164,8 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, c
     rest = found.where(F.col("length") < capacity)
     tokens = rest.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(tokens / group_tokens))
-    # pieces of one document go to different groups, so a very long one fills none alone; repeated rows may share one
-    dealt = rest.withColumn("group_id", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # neither a very long document nor repeated rows fill a group alone: pieces are dealt by their place in the written table too
+    dealt = rest.withColumn("group_id", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])

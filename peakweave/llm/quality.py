@@ -89,16 +89,19 @@ def vote(model: dict, terms: np.ndarray, neighbours: int = NEIGHBOURS) -> np.nda
     if not near.shape[1]:
         return np.full(len(terms), model["prior"])
     k = min(neighbours, near.shape[1])
-    top = np.argpartition(near, -k, axis=1)[:, -k:]
-    weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64)
+    last = np.partition(near, -k, axis=1)[:, -k, None]
+    nearer, even = near > last, near == last
+    voters = nearer | (even & (np.cumsum(even, axis=1) <= k - nearer.sum(axis=1, keepdims=True)))  # of those even at the last place, the first
+    weight = np.where(voters, np.maximum(near, 0), 0).astype(np.float64)
     total = weight.sum(axis=1)
-    return np.divide((weight * model["labels"][top]).sum(axis=1), total, out=np.full(len(terms), model["prior"]), where=total > 1e-9)
+    return np.divide(weight @ model["labels"], total, out=np.full(len(terms), model["prior"]), where=total > 1e-9)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """Terms and labels of at most ``bound`` training documents: of the labelled ids outside the held-out fold, those of least hash.
 
-    Labels other than 0 and 1, null labels and ids with both labels teach nothing.
+    Labels other than 0 and 1, null labels and ids with both labels teach nothing. Of several texts of an id, that of least
+    hash teaches, however often rows are repeated.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -106,6 +109,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLE
     ids = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(bound).select("doc_id", F.col("quality").cast("int").alias("quality"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     taught = plain.join(F.broadcast(ids), "doc_id")  # at most `bound` ids
+    taught = taught.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -114,7 +118,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLE
                 found = terms_of(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.astype(np.float16).tobytes() for x in found], pa.binary())], ["doc_id", "quality", "terms"])
 
-    got = sorted(((r.doc_id, r.quality, bytes(r.terms)) for r in mapped(taught, run, "doc_id long, quality int, terms binary").limit(2 * bound).collect()))[:bound]
+    got = sorted(((r.doc_id, r.quality, bytes(r.terms)) for r in mapped(taught, run, "doc_id long, quality int, terms binary").collect()))
     x = np.array([np.frombuffer(t, np.float16) for _, _, t in got], np.float32).reshape(len(got), 2 * TERMS + REPEAT_TERMS)
     return x, np.array([q for _, q, _ in got], np.int64)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from peakweave.llm._shared import materialise
 
-SHARDS, FIRST_DIGITS, MORE_DIGITS, SLOT_BLOCKS = 8, 3, 2, 512
+SHARDS, FIRST_DIGITS, MORE_DIGITS, SLOT_BLOCKS, BLOCK_ROWS = 8, 3, 2, 512, 1_000_000
 
 #: A prefix of the digest, the bytes of its groups, their number, the bytes of the largest.
 Segment = tuple[str, int, int, int]
@@ -95,18 +95,19 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     gapless from 0 in each shard. An empty table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.substring(F.sha2(text, 256), 1, 40).alias("digest"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.substring(F.sha2(text, 256), 1, 40).alias("digest"), F.monotonically_increasing_id().alias("place"))
     rows = materialise(plain, "sizes")
     groups = materialise(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "groups")
     _, starts = boundaries(groups, shards)
     shard = F.lit(0)
     for start in starts:
         shard += (F.col("digest") >= start).cast("int")
-    placed = rows.withColumn("shard", shard).withColumn("_block", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SLOT_BLOCKS)).cast("int"))
+    blocks = max(SLOT_BLOCKS, rows.count() // BLOCK_ROWS)  # its files know the count
+    placed = rows.withColumn("shard", shard).withColumn("_block", F.pmod(F.xxhash64("doc_id", "digest", "place"), F.lit(blocks)).cast("int"))  # repeated rows go to many blocks
     counts = placed.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = "coalesce(sum(_n) over (partition by shard order by _block rows between unbounded preceding and 1 preceding), 0)"
     offsets = counts.select("shard", "_block", F.expr(before).alias("_before"))  # a row per shard and block: of a fixed size
-    within = F.expr("row_number() over (partition by shard, _block order by doc_id, digest)")
+    within = F.expr("row_number() over (partition by shard, _block order by doc_id, digest, place)")
     numbered = placed.withColumn("_at", within).join(F.broadcast(offsets), ["shard", "_block"])
     slot = (F.col("_before") + F.col("_at") - 1).cast("long")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

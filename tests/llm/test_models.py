@@ -271,6 +271,36 @@ def test_differencing_levels_and_rises():
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in even) == [14, 16]  # the textbook case of differencing
 
 
+def _multiway(sizes, windows):
+    """Karmarkar-Karp as it is told: tuples of sums, the two of the widest spread merged in opposite order."""
+    parts = [(tuple([(n, [i])] + [(0, [])] * (windows - 1)), k) for k, (i, n) in enumerate(enumerate(sizes))]
+    for count in range(len(sizes), 2 * len(sizes) - 1):
+        parts.sort(key=lambda p: (p[0][-1][0] - p[0][0][0], p[1]))
+        (a, _), (b, _) = parts[:2]
+        both = sorted(((x + y, m + n) for (x, m), (y, n) in zip(a, reversed(b), strict=True)), key=lambda w: -w[0])
+        parts = [*parts[2:], (tuple((s - both[-1][0], m) for s, m in both), count)]
+    return [m for _, m in parts[0][0]]
+
+
+def test_differencing_equals_the_plain_method():
+    rng = random.Random(35)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 25))]
+        for windows in (1, 2, 3, 7):
+            spread = lambda found: sorted(sum(sizes[i] for i in w) for w in found if w)
+            assert spread(packing.differencing(sizes, windows)) == spread(_multiway(sizes, windows)), (sizes, windows)
+
+
+def test_repeated_rows_are_packed_and_numbered_apart(spark):
+    pytest.importorskip("public_tokenizers")
+    rows = [(7, "the same words again")] * 3000 + [(None, None)] * 500 + [(8, "")] * 500
+    got = packing.packed(_docs(spark, rows), group_tokens=2048).collect()
+    sizes = Counter(r.sequence_id >> 24 for r in got)
+    assert max(sizes.values()) < 4 * len(got) / len(sizes) and sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+    shards = sharding.minimax_shards(_docs(spark, rows)).collect()
+    assert all(sorted(r.slot for r in shards if r.shard == k) == list(range(sum(r.shard == k for r in shards))) for k in range(8))
+
+
 def _shingles(words):
     return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [("whole", *words)] if words else []
 
@@ -364,6 +394,73 @@ def test_quality_tells_junk_on_held_out_documents(spark):
     assert {r.score for r in alone.collect()} == {0.5}
 
 
+def test_vote_equals_brute_force():
+    rng = np.random.default_rng(31)
+    terms = np.abs(rng.normal(size=(60, 40))).astype(np.float32)
+    terms[7] = terms[3]  # an even place, with the other label
+    model = quality.fit(terms, np.arange(60) % 2, rank=8)
+    asked = np.concatenate((np.abs(rng.normal(size=(30, 40))), terms[:10], np.zeros((1, 40)))).astype(np.float32)
+    for k in (1, 5, 15, 100):
+        for x, got in zip(asked, quality.vote(model, asked, k), strict=True):
+            v = quality._unit(((x * model["weights"]) @ model["basis"])[None])[0]
+            near = sorted(((float(v @ y), -i) for i, y in enumerate(model["vectors"])), reverse=True)[:k]
+            total = sum(max(0, c) for c, _ in near)
+            want = sum(max(0, c) * (i % 2) for c, i in near) / total if total > 1e-9 else model["prior"]
+            assert abs(got - want) < 1e-4, (k, got, want)
+
+
+def test_repeated_labelled_rows_teach_once(spark):
+    rng = random.Random(32)
+    rows = [(k, _text(rng, 40) if k % 2 else "$$$ " * (k + 1)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    once = {r.doc_id: r.score for r in quality.scored(_docs(spark, rows), labels).collect()}
+    more = _docs(spark, rows + [r for r in rows if r[0] < 20 for _ in range(30)]).selectExpr("*", "1 AS quality", "2 AS terms", "3 AS score")
+    got = quality.scored(more, labels).collect()
+    assert len(got) == 660 and all(abs(r.score - once[r.doc_id]) < 1e-6 for r in got)
+
+
+def test_decisions_equal_brute_force():
+    rng = np.random.default_rng(33)
+    x = rng.normal(size=(50, 6)).astype(np.float32)
+    names = ["a", "b", "c", "d"]
+    for n in (1, 2, 3, 4):
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+        duels, alone = (rng.normal(size=(k, 6)).astype(np.float32) for k in (len(pairs), n))
+        best, share = language.decide(names[:n], duels, x)
+        widest, sure = language.widest(names[:n], alone, x)
+        for i, v in enumerate(x):
+            margins = [float(np.clip(v @ m, -6, 6)) for m in duels]
+            wins, sums = [0] * n, [0.0] * n
+            for (a, b), m in zip(pairs, margins, strict=True):
+                wins[a if m >= 0 else b] += 1
+                sums[a] += m
+                sums[b] -= m
+            assert best[i] == max(range(n), key=lambda c: (wins[c], sums[c])) and 0 <= share[i] <= 1
+            assert n == 1 or widest[i] == max(range(n), key=lambda c: float(v @ alone[c]))
+            assert 1 / n - 1e-6 <= sure[i] <= 1
+
+
+def test_machine_separates_and_rests_at_a_minimum():
+    rng = np.random.default_rng(34)
+    y = np.repeat([1, -1], 40).astype(np.float32)
+    x = np.concatenate((rng.normal(size=(80, 3)) * 0.2 + y[:, None] * 0.4, np.ones((80, 1))), axis=1).astype(np.float32)
+    loss = lambda w: 0.5e-4 * float(w @ w) + float((np.maximum(0, 1 - y * (x @ w)) ** 2).mean())
+    w = language.svm(x, y, steps=2000)
+    assert (np.sign(x @ w) == y).mean() > 0.95
+    assert all(loss(w) <= loss(w + d.astype(np.float32)) + 1e-5 for d in rng.normal(size=(200, 4)) * 0.05)
+
+
+def test_languages_of_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, quality int, score double"
+    assert language.identified(spark.createDataFrame([], schema)).count() == 0
+    rows = [(k, ("the and of with " if k % 2 else "der und die das ") * 8, "en" if k % 2 else "de", 1, 0.5) for k in range(40)]
+    rows += [(1, "the and of with", "en", 1, 0.5)] * 300 + [(50, "the and of with " * 30_000, None, 1, 0.5), (None, "der und die", "de", 1, 0.5)]
+    got = language.identified(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.lang_pred) for r in got if r.doc_id in (1, 2, 50)} == {(1, "en"), (2, "de"), (50, "en")}
+    one = language.identified(spark.createDataFrame([(1, "some words", "xx", 1, 0.5), (2, "12", "xx", 1, 0.5)], schema)).collect()
+    assert {(r.doc_id, r.lang_pred) for r in one} == {(1, "xx"), (2, "und")}
+
+
 def test_language_is_told_on_held_out_documents(spark):
     words = {"en": "the and of that with which this from have been", "de": "der und die das nicht mit sich eine auch wird", "fr": "le et les des une dans pour qui est avec", "es": "el los las una por con que para del como", "fi": "ja on ei se hän mutta kun niin että kuin"}
     rng = random.Random(10)
@@ -407,6 +504,30 @@ def test_url_trees_on_held_out_words_and_shapes():
     assert (said == np.array([b for _, b in held], bool)).mean() > 0.9
 
 
+def test_one_boosting_step_is_the_best_there_is():
+    rng = np.random.default_rng(36)
+    x, y = rng.integers(0, 6, (80, 3)).astype(float), rng.integers(0, 2, 80).astype(float)
+    model = url_filter.boost(x, y, trees=1, depth=1)
+    prior = y.mean()
+    gain = lambda own: (prior - y[own]).sum() ** 2 / (own.sum() * prior * (1 - prior) + 1)
+    best = max((gain(x[:, f] <= t) + gain(x[:, f] > t), -f, -t) for f in range(3) for t in range(5))
+    (splits, leaves), f, t = model["trees"][0], *model["trees"][0][0][0]
+    assert abs(gain(x[:, f] <= t) + gain(x[:, f] > t) - best[0]) < 1e-9
+    for side, leaf in ((x[:, f] <= t, leaves[0]), (x[:, f] > t, leaves[1])):
+        assert abs(leaf - 0.2 * (y[side] - prior).sum() / (side.sum() * prior * (1 - prior) + 1)) < 1e-9
+    assert np.allclose(url_filter.score(model, x), 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + np.where(x[:, f] > t, leaves[1], leaves[0])))))
+
+
+def test_url_verdicts_of_odd_tables(spark):
+    labelled = spark.createDataFrame([(u, b) for u, b in url_filter.seed_urls(300)] + [(None, 1), ("http://x.y/", None)], "url string, blocked int")
+    model = url_filter.train(labelled, bound=250)
+    schema = "page_id long, url string, score double, host string, rule string"
+    assert url_filter.judged(spark.createDataFrame([], schema), model).count() == 0
+    rows = [(k % 7, u, 1.0, "h", "r") for k, u in enumerate(URLS * 3)] + [(None, "http://z.biz/" + "a/" * 50_000, 0.0, None, None)]
+    got = url_filter.judged(spark.createDataFrame(rows, schema), model).collect()
+    assert len(got) == len(rows) and len({(r.host, r.path, r.rule, r.verdict, r.score) for r in got}) <= len(set(URLS)) + 1
+
+
 def test_loser_tree_merges_any_runs():
     rng = random.Random(11)
     for k in range(0, 9):
