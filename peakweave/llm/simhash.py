@@ -16,6 +16,7 @@ fingerprints spare comparisons in crowded buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -35,11 +36,13 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 WIDE_RADIUS = 44
 #: Shingles of more sets than this come last in the order of shingles, and buckets of more sets are compared by sketches. It changes how sets are compared, not what is found.
 COMMON = 64
+#: So many of the commonest shingles are told apart from the rare (16 bytes each, broadcast), and in a stretch of rows those of so many sets are counted.
+MOST_COMMON, SEEN, _STRETCH = 500_000, 3, 1 << 22
 #: So many of the least hashes of a set are its sketch, which is all of it for texts of a few hundred words.
 SKETCH = 512
 _COLUMNS = 4096
 #: Sets, or shingles, of a table that is broadcast (8 to 40 bytes each).
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 _SLICE = 1 << 15
 _SMALL = 48
 _ROWS = 1024
@@ -155,61 +158,101 @@ def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarr
     return hashes, int(low), int(high)
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """``(doc_id, row, own, lo, hi, shingles)`` for each row; row is a hash of the text, own one of the set."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, row, text``; row is a hash of the text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+def _own(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def shingle_prints(texts: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """``(doc_id, row, own, n, lo, hi)`` for each row: a hash of its set, the set's size and fingerprint.
+
+    Further rows, of null ``n``, tell how many sets of a stretch of rows hold a shingle, ``(own, seen)``, where they are
+    ``SEEN`` or more; these sums are a lower bound of what is common.
+    """
+
+    def told(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, times = np.unique(np.concatenate(sets), return_counts=True)
+        often = times >= SEEN
+        none = pa.nulls(int(often.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(tokens[often]), none, none, none, pa.array(times[often])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                found = [shingle_set(x.as_py(), shingle) for x in part.column(2)]
-                ends = np.cumsum([0, *(len(h) for h, _, _ in found)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([h for h, _, _ in found])))
-                own = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h, _, _ in found], np.uint64).view(np.int64)
-                low, high = (pa.array([f[k] for f in found], pa.int64()) for k in (1, 2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own), low, high, lists], ["doc_id", "row", "own", "lo", "hi", "shingles"])
+            rows: list[tuple] = []
+            for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                hashes, low, high = shingle_set(text.as_py(), shingle)
+                own = _own(hashes)
+                rows.append((doc, row, own, len(hashes), low, high, None))
+                if own not in sets:
+                    sets[own] = hashes
+                    held += len(hashes)
+                if held > _STRETCH:
+                    yield told(list(sets.values()))
+                    sets, held = {}, 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names) if rows else pa.RecordBatch.from_arrays([pa.nulls(0, pa.int64())] * 7, names)
+        if sets:
+            yield told(list(sets.values()))
+
+    names = ["doc_id", "row", "own", "n", "lo", "hi", "seen"]
+    return mapped(texts, run, ", ".join(f"{c} long" for c in names))
+
+
+def _sets_of(texts: DataFrame, wanted: DataFrame, shingle: int, most: int | None = None) -> DataFrame:
+    """``own, shingles`` of the sets ``(own, rep, row)``, from the texts of their representatives; the ``most`` least hashes of each."""
 
-    text = F.col(text_col).cast("string")
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
-    return mapped(kept, run, "doc_id long, row long, own long, lo long, hi long, shingles array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                found = [shingle_set(x.as_py(), shingle)[0][:most] for x in batch.column(1)]
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], ["own", "shingles"])
+
+    rows = texts.withColumnRenamed("doc_id", "rep").join(_small(wanted), ["rep", "row"]).select("own", "text")
+    return mapped(rows, run, "own long, shingles array<long>").dropDuplicates(["own"])
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df, BROADCAST_ROWS) else df
 
 
-def _prefix(ordered: str, similarity: float) -> Column:
-    """So many of a set's shingles, in an order that all sets share, that two similar sets have one of them in common."""
-    n = F.size(ordered)
-    return F.slice(ordered, 1, (n - F.ceil(similarity * n - 1e-9) + 1).cast("int"))
-
-
-def _sets_of(prints: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``own, shingles`` of the sets ``(own, rep)``, from the rows of their representatives (each of its repeated rows)."""
-    return prints.select("own", F.col("doc_id").alias("rep"), "shingles").join(_small(wanted), ["own", "rep"]).select("own", "shingles")
+def _prefix_length(n: int, similarity: float) -> int:
+    """Two similar sets, in one order, have one of so many first shingles in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _prefix_keys(prints: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
-    """``(own, rep, key)``: the prefix of each set, rarest shingles first. named: ``own, rep, prefix`` (by hash alone).
+def _prefix_keys(texts: DataFrame, reps: DataFrame, common: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``(own, key)``: the prefix of each set, rarest shingles first. reps: ``own, rep, row``; common: ``key, n``.
 
-    Only common shingles need counting: those of sets that hold one of them in their prefix by hash. A shingle that is not
-    found common counts as rare, in every set alike, so the prefixes of all other sets stand as they are.
+    Shingles that are not in ``common`` count as rare, in every set alike, and stand in the order of their hashes.
     """
-    keys = named.select("own", "rep", F.explode("prefix").alias("key"))
-    seen = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("key"), "common-keys")
-    if fits(seen, 0):
-        return keys
+    found = common.select("key", "n").toArrow().sort_by("key")  # no more than MOST_COMMON
+    sent = texts.sparkSession.sparkContext.broadcast((found["key"].to_numpy(), found["n"].to_numpy()))
 
-    def crowded_by(common: DataFrame) -> DataFrame:
-        return materialise(keys.join(_small(common.select("key")), "key").select("own", "rep").distinct(), "crowded-sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                found = []
+                for text in part.column(1):
+                    hashes = shingle_set(text.as_py(), shingle)[0]
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                        hashes = hashes[np.argsort(np.where(known[place] == hashes, times[place], 0), kind="stable")]
+                    found.append(hashes[: _prefix_length(len(hashes), similarity)])
+                own = np.repeat(part.column(0).to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(found))], ["own", "key"])
 
-    counted = _sets_of(prints, crowded_by(seen)).select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    common = materialise(counted.where(F.col("n") > COMMON), "common-shingles")
-    crowded = crowded_by(common)
-    each = _sets_of(prints, crowded).select("own", F.explode("shingles").alias("key")).join(_small(common), "key", "left")
-    ranked = each.groupBy("own").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("ordered"))
-    again = ranked.select("own", F.explode(_prefix("ordered", similarity)).alias("k")).join(_small(crowded), "own").select("own", "rep", F.col("k.key").alias("key"))
-    return named.join(_small(crowded), ["own", "rep"], "left_anti").select("own", "rep", F.explode("prefix").alias("key")).unionByName(again)
+    rows = texts.withColumnRenamed("doc_id", "rep").join(_small(reps), ["rep", "row"]).select("own", "text")
+    return mapped(rows, run, "own long, key long")
 
 
 def _candidates(similarity: float):
@@ -298,10 +341,11 @@ def _sketched(similarity: float):
     return work
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """Of distinct pairs ``(a, b, rep_a, rep_b)`` of sets, those of enough similarity, by the sets themselves."""
-    wanted = pairs.select(F.col("a").alias("own"), F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("b").alias("own"), F.col("rep_b").alias("rep"))).distinct()
-    sets = materialise(_sets_of(prints, materialise(wanted, "wanted-sets")).dropDuplicates(["own"]), "compared-sets")
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Of distinct pairs ``(a, b)`` of sets with ``rep_`` and ``row_`` of each, those of enough similarity, by the sets themselves."""
+    sides = [pairs.select(F.col(x).alias("own"), F.col(f"rep_{x}").alias("rep"), F.col(f"row_{x}").alias("row")) for x in ("a", "b")]
+    wanted = materialise(sides[0].unionByName(sides[1]).distinct(), "wanted-sets")
+    sets = materialise(_sets_of(texts, wanted, shingle), "compared-sets")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     same = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(same / (F.size("set_a") + F.size("set_b") - same) >= similarity).select("rep_a", "rep_b")
@@ -317,42 +361,48 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity lies between 0 and 1")
-    prints = materialise(shingle_sets(docs, id_col, text_col, shingle), "shingles")
-    first = [F.first(c).alias(c) for c in ("lo", "hi", "n", "prefix")]
-    narrow = prints.select("doc_id", "own", "lo", "hi", F.size("shingles").alias("n"), _prefix("shingles", similarity).alias("prefix"))
-    groups = materialise(narrow.groupBy("own").agg(F.min("doc_id").alias("rep"), *first), "groups")
-    named = groups.where("rep IS NOT NULL")
-    keys = _prefix_keys(prints, named.select("own", "rep", "prefix"), similarity).select("own", "key")
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sharing"), F.min(F.col("own").bitwiseXOR(F.col("key"))).alias("least")).where("sharing > 1")
-    shared = materialise(keys.join(often, "key").select("key", "own", "sharing", F.col("least").bitwiseXOR(F.col("key")).alias("hub")), "shared-shingles")
-    about = named.select("own", "rep", "n", "lo", "hi")
+    texts = _texts(docs, id_col, text_col)
+    found = materialise(shingle_prints(texts, shingle), "prints")
+    prints = found.where("n IS NOT NULL")
+    first = [F.first(c).alias(c) for c in ("n", "lo", "hi")]
+    groups = prints.groupBy("own").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("r"), *first)
+    named = materialise(groups.where("r IS NOT NULL").select("own", F.col("r.doc_id").alias("rep"), "r.row", "n", "lo", "hi"), "sets")
+    common = found.where("seen IS NOT NULL").groupBy(F.col("own").alias("key")).agg(F.sum("seen").alias("n")).where(F.col("n") > COMMON)
+    common = materialise(common.orderBy(F.desc("n"), "key").limit(MOST_COMMON), "common-shingles")
+    keys = _prefix_keys(texts, named.select("own", "rep", "row"), common, similarity, shingle)
+    mixed = [F.col("own").bitwiseXOR(F.col("key")), F.count(F.lit(1)).alias("sharing")]
+    often = keys.groupBy("key").agg(mixed[1], F.min(mixed[0]).alias("least"), F.max(mixed[0]).alias("most")).where("least < most").drop("most")
+    often = _small(materialise(often, "shared-keys"))
+    shared = materialise(keys.join(often, "key").select("key", "own", "sharing", F.col("least").bitwiseXOR(F.col("key")).alias("hub")).distinct(), "shared-shingles")
+    about = named.select("own", "rep", "row", "n", "lo", "hi")
 
     def with_both(pairs: DataFrame) -> DataFrame:
-        return pairs.join(about.toDF("a", "rep_a", "n_a", "lo_a", "hi_a"), "a").join(about.toDF("b", "rep_b", "n_b", "lo_b", "hi_b"), "b")
+        return pairs.join(about.toDF("a", "rep_a", "row_a", "n_a", "lo_a", "hi_a"), "a").join(about.toDF("b", "rep_b", "row_b", "n_b", "lo_b", "hi_b"), "b")
 
+    ends = ["a", "b", "rep_a", "rep_b", "row_a", "row_b"]
     hubs = shared.where("own <> hub").select(F.least("own", "hub").alias("a"), F.greatest("own", "hub").alias("b")).distinct()
     apart = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
     alike = (apart <= WIDE_RADIUS) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
-    pairs = materialise(with_both(hubs).where(alike).select("a", "b", "rep_a", "rep_b"), "pairs")
-    found = connected_components(_similar(pairs, prints, similarity), "rep_a", "rep_b")
+    pairs = materialise(with_both(hubs).where(alike).select(ends), "pairs")
+    found = connected_components(_similar(pairs, texts, similarity, shingle), "rep_a", "rep_b")
 
     rows = shared.where("sharing > 2").join(about, "own").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = materialise(rows.select("key", "own", "sharing", "n", "lo", "hi", "rep", F.coalesce("component", "rep").alias("component")), "rows")
+    rows = materialise(rows.select("key", "own", "sharing", "n", "lo", "hi", "rep", "row", F.coalesce("component", "rep").alias("component")), "rows")
     differ = F.min("component") < F.max("component")
-    few = tiled(rows.where(F.col("sharing") <= COMMON).drop("sharing", "rep"), ["key"], "own", worth=differ)
+    few = tiled(rows.where(F.col("sharing") <= COMMON).drop("sharing", "rep", "row"), ["key"], "own", worth=differ)
     rest = map_tiles(few, _candidates(similarity), "a long, b long", ["own"])
     crowded = rows.where(F.col("sharing") > COMMON).drop("sharing")
     worth = materialise(crowded.groupBy("key").agg(differ.alias("differ")).where("differ").select("key"), "mixed-buckets")
     crowded = crowded.join(_small(worth), "key")
-    sketches = _sets_of(prints, materialise(crowded.select("own", "rep").distinct(), "crowded-sets")).select("own", F.slice("shingles", 1, SKETCH).alias("sketch")).dropDuplicates(["own"])
-    many = tiled(crowded.drop("rep"), ["key"], "own", prune=False).join(materialise(sketches, "sketches"), "own")
+    sketches = _sets_of(texts, materialise(crowded.select("own", "rep", "row").distinct(), "crowded-sets"), shingle, SKETCH).withColumnRenamed("shingles", "sketch")
+    many = tiled(crowded.drop("rep", "row"), ["key"], "own", prune=False).join(materialise(sketches, "sketches"), "own")
     told = materialise(map_tiles(many, _sketched(similarity), "a long, b long, sure boolean", ["own"]).distinct(), "sketched")
     rest = rest.unionByName(told.where("NOT sure").select("a", "b")).distinct()
-    pairs = materialise(with_both(rest).select("a", "b", "rep_a", "rep_b"), "pairs")
-    links = found.toDF("rep_a", "rep_b").unionByName(_similar(pairs, prints, similarity)).unionByName(with_both(told.where("sure")).select("rep_a", "rep_b"))
+    pairs = materialise(with_both(rest).select(ends), "pairs")
+    links = found.toDF("rep_a", "rep_b").unionByName(_similar(pairs, texts, similarity, shingle)).unionByName(with_both(told.where("sure")).select("rep_a", "rep_b"))
     found = connected_components(links, "rep_a", "rep_b")
-    classes = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("own", F.coalesce("component", "rep").alias("component_id"))
-    return prints.select("doc_id", "row", "own").join(classes, "own").select("doc_id", "row", "component_id")
+    classes = named.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("own", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("doc_id", "row", "own").join(classes, "own", "left").select("doc_id", "row", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
