@@ -42,7 +42,7 @@ MOST_COMMON, SEEN, _STRETCH = 500_000, 3, 1 << 22
 SKETCH = 512
 _COLUMNS = 4096
 #: Sets, or shingles, of a table that is broadcast (8 to 40 bytes each).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, SHARED_ROWS = 500_000, 20_000
 _SLICE = 1 << 15
 _SMALL = 48
 _ROWS = 1024
@@ -219,8 +219,8 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, shingle: int, most: int | None
     return mapped(rows, run, "own long, shingles array<long>").dropDuplicates(["own"])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if fits(df, BROADCAST_ROWS) else df
+def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def _prefix_length(n: int, similarity: float) -> int:
@@ -370,10 +370,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     common = found.where("seen IS NOT NULL").groupBy(F.col("own").alias("key")).agg(F.sum("seen").alias("n")).where(F.col("n") > COMMON)
     common = materialise(common.orderBy(F.desc("n"), "key").limit(MOST_COMMON), "common-shingles")
     keys = _prefix_keys(texts, named.select("own", "rep", "row"), common, similarity, shingle)
-    mixed = [F.col("own").bitwiseXOR(F.col("key")), F.count(F.lit(1)).alias("sharing")]
-    often = keys.groupBy("key").agg(mixed[1], F.min(mixed[0]).alias("least"), F.max(mixed[0]).alias("most")).where("least < most").drop("most")
-    often = _small(materialise(often, "shared-keys"))
-    shared = materialise(keys.join(often, "key").select("key", "own", "sharing", F.col("least").bitwiseXOR(F.col("key")).alias("hub")).distinct(), "shared-shingles")
+    often = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sharing")).where("sharing > 1"), "shared-keys")
+    met = materialise(keys.join(_small(often, SHARED_ROWS), "key").select("key", "own", "sharing").distinct(), "shared-shingles")
+    least = materialise(met.groupBy("key").agg(F.min(F.col("own").bitwiseXOR(F.col("key"))).alias("least")), "hubs")
+    shared = met.join(_small(least), "key").select("key", "own", "sharing", F.col("least").bitwiseXOR(F.col("key")).alias("hub"))
     about = named.select("own", "rep", "row", "n", "lo", "hi")
 
     def with_both(pairs: DataFrame) -> DataFrame:
