@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from peakweave.llm._shared import fits, materialise
 
 DEPTH, MIN_DOCS, MIN_TOKENS, MIN_KEPT, FIELD = 3, 3, 3, 0.7, "<*>"
-#: Leaves, or lines to drop, up to this number are broadcast (16 to 40 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Leaves, tokens and templates up to this number are broadcast (16 to 40 bytes each), and so are as many lines to drop; more are joined by shuffle.
+BROADCAST_ROWS = 20_000
 
 
 def _masked(tokens: Column) -> Column:
