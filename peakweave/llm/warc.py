@@ -34,6 +34,8 @@ MIN_SHARED, ROLL_BYTES, FAN_IN, RANGE_ROWS, BATCH_ROWS, BROADCAST_ROWS = 100, 51
 EPOCH, SPAN = 1_700_000_000, 100_000_000
 #: Marks of a run, however short, from which ranges are cut; a long one has eight for each range's worth of rows. A range of fewer rows than LEAST_RANGE is not worth a task.
 MARKS, LEAST_RANGE = 2, 4096
+#: A task reads about so many bytes of archives.
+READ_BYTES = 256 << 20
 
 INDEX = pa.schema([("key", pa.string()), ("timestamp", pa.int64()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
@@ -310,7 +312,10 @@ def read_archives(index: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    places = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    # a number of its own, as rows of the index are small and what they name is not: adaptive execution would read all in a task
+    size = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(index.sparkSession.sparkContext.defaultParallelism, size // READ_BYTES)
+    places = index.select("archive", "offset", "length").repartition(parts, "archive").sortWithinPartitions("archive", "offset")
     return mapped(places, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
