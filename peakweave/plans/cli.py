@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from peakweave.config import Config
 from peakweave.plans import pipeline
 from peakweave.sources import annotation, bam, sam, sinks
+from peakweave.sources.shared import remove_intermediates, write_text_file
 from peakweave.sources.shipping import ship
 
 VERSION = "0.1.0"
@@ -17,7 +18,7 @@ VERSION = "0.1.0"
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="peakweave", description="Transcripts and gene counts from aligned 3' reads.")
-    p.add_argument("reads", help="a .bam with its .bai, a .sam, or a Parquet table of reads")
+    p.add_argument("reads", help="a .bam with its .bai (or a pattern of several), a .sam, or a Parquet table of reads")
     p.add_argument("-t", "--threads", type=int, default=1, help="accepted for familiarity; Spark's cores are set by its master")
     p.add_argument("-a", "--annotation", default="", help=".gtf or .gff")
     p.add_argument("-s", "--strandedness", choices=("forward", "reverse"), default="forward")
@@ -42,7 +43,7 @@ def config_of(args: argparse.Namespace) -> Config:
 
 
 def open_reads(spark: SparkSession, path: str) -> DataFrame:
-    if path.endswith(".bam"):
+    if path.endswith(".bam") or "*" in path:
         ship(spark)
         spark.dataSource.register(bam.BamSource)
         return spark.read.format("bam").option("order", "coordinate").load(path)
@@ -58,7 +59,7 @@ def run(spark: SparkSession, path: str, config: Config) -> DataFrame | None:
     lines = annotation.read_annotation(spark, config.annotation, config)
     transcripts, counts, summary = pipeline.counted(reads, lines, config)
     sinks.write_gtf(sinks.gtf_rows(transcripts, config), config.output_gtf, config)
-    sinks.count_rows(counts).write.mode("overwrite").text(f"{config.output_gtf}.counts")
+    write_text_file(sinks.count_rows(counts), f"{config.output_gtf}.counts")
     return sinks.summary_rows(summary)
 
 
@@ -69,6 +70,7 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.appName("peakweave").getOrCreate()
         for row in (rows := run(spark, args.reads, config)) and rows.collect() or []:
             print(f"{row.metric}\t{row.value}")
+        remove_intermediates(spark)
     except (ValueError, OSError) as error:
         print(f"peakweave: {error}", file=sys.stderr)
         return 1

@@ -34,16 +34,21 @@ _CTE = {
     "exon_runs": "SELECT *, sum(fresh) OVER (PARTITION BY contig, strand, gene_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS r FROM exon_edges",
     "exons": "SELECT contig, strand, gene_id, min(start) AS start, max(stop) AS stop FROM exon_runs GROUP BY contig, strand, gene_id, r",
     "genes": "SELECT contig, strand, gene_id, min(start) AS start, max(stop) AS stop FROM exons GROUP BY ALL",
-    "read_hits": """SELECT b.contig, b.strand, b.pos, b.cigar, b.n, b.block_ix, e.gene_id,
-        max(CASE WHEN b."left" BETWEEN e.start AND e.stop THEN 1 ELSE 0 END + CASE WHEN b."right" BETWEEN e.start AND e.stop THEN 1 ELSE 0 END) AS score
-        FROM blocks b JOIN exons e ON b.contig = e.contig AND b.strand = e.strand AND b."left" <= e.stop AND e.start <= b."right" GROUP BY ALL""",
-    "read_best": """SELECT contig, strand, pos, cigar, n, max(score) AS best FROM read_hits GROUP BY ALL""",
-    "read_top": """SELECT b.contig, b.strand, b.pos, b.cigar, b.n, count(*) AS k, min(h.gene_id) AS gene_id FROM read_best b JOIN read_hits h
-        USING (contig, strand, pos, cigar) WHERE h.score = b.best AND b.best > 0 GROUP BY ALL""",
-    "read_status": """SELECT a.contig, a.strand, a.pos, a.cigar, a.n, CASE WHEN t.k IS NULL THEN 'unassigned' WHEN t.k = 1 THEN 'assigned' ELSE 'ambiguous' END AS status,
-        CASE WHEN t.k = 1 THEN t.gene_id END AS gene_id FROM alignments a LEFT JOIN read_top t USING (contig, strand, pos, cigar)""",
 }
 
+# reads by their strand, in a reverse-stranded library, and with genes counted instead of hits
+for _p, _facing, _hits in (("", "e.strand", "*"), ("reverse_", "1 - e.strand", "*"), ("distinct_", "e.strand", "DISTINCT h.gene_id")):
+    _CTE |= {
+        f"{_p}read_hits": f"""SELECT b.contig, b.strand, b.pos, b.cigar, b.n, b.block_ix, e.gene_id,
+            max(CASE WHEN b."left" BETWEEN e.start AND e.stop THEN 1 ELSE 0 END + CASE WHEN b."right" BETWEEN e.start AND e.stop THEN 1 ELSE 0 END) AS score
+            FROM blocks b JOIN exons e ON b.contig = e.contig AND b.strand = {_facing} AND b."left" <= e.stop AND e.start <= b."right" GROUP BY ALL""",
+        f"{_p}read_best": f"SELECT contig, strand, pos, cigar, n, max(score) AS best FROM {_p}read_hits GROUP BY ALL",
+        f"{_p}read_top": f"""SELECT b.contig, b.strand, b.pos, b.cigar, b.n, count({_hits}) AS k, min(h.gene_id) AS gene_id FROM {_p}read_best b JOIN {_p}read_hits h
+            USING (contig, strand, pos, cigar) WHERE h.score = b.best AND b.best > 0 GROUP BY ALL""",
+        f"{_p}read_status": f"""SELECT a.contig, a.strand, a.pos, a.cigar, a.n, CASE WHEN t.k IS NULL THEN 'unassigned' WHEN t.k = 1 THEN 'assigned' ELSE 'ambiguous' END AS status,
+            CASE WHEN t.k = 1 THEN t.gene_id END AS gene_id FROM alignments a LEFT JOIN {_p}read_top t USING (contig, strand, pos, cigar)""",
+    }
+
 for _side in ("left", "right"):
     _CTE |= {
         f"{_side}_points": f'SELECT {KEY}, "{_side}" AS pos, least, CAST(sum(n) AS BIGINT) AS n FROM located WHERE read_count >= {LEAST} GROUP BY ALL',
@@ -125,6 +130,20 @@ ORACLE_SQL = {
     "read_status_totals": sql("SELECT contig, status, CAST(sum(n) AS BIGINT) AS reads FROM read_status GROUP BY ALL"),
     "gene_read_counts": sql("""SELECT g.contig, g.strand, g.gene_id, CAST(coalesce(sum(s.n), 0) AS DOUBLE) AS reads FROM genes g
         LEFT JOIN read_status s ON s.contig = g.contig AND s.strand = g.strand AND s.gene_id = g.gene_id GROUP BY ALL"""),
+    "unsearched_run_counts": sql("""SELECT g.contig, g.strand, g.gene_id, CAST(coalesce(sum(s.n), 0) AS DOUBLE) AS reads FROM genes g
+        LEFT JOIN read_status s ON s.contig = g.contig AND s.strand = g.strand AND s.gene_id = g.gene_id GROUP BY ALL"""),
+    "unsearched_reverse_run_counts": sql("""SELECT g.contig, g.strand, g.gene_id, CAST(coalesce(sum(s.n), 0) AS DOUBLE) AS reads FROM genes g
+        LEFT JOIN reverse_read_status s ON s.contig = g.contig AND s.strand = 1 - g.strand AND s.gene_id = g.gene_id GROUP BY ALL"""),
+    "unsearched_run_summary": sql("""SELECT CAST(place AS INT) AS place, status AS metric, printf('%.2f', CAST(coalesce(sum(n), 0) AS DOUBLE)) AS value
+        FROM (VALUES (0, 'assigned'), (1, 'unassigned'), (2, 'ambiguous')) t(place, status) LEFT JOIN read_status USING (status) GROUP BY place, status
+        UNION ALL SELECT 3, 'multimapping', CAST(count(*) FILTER (reject_reason = 'multimapped') AS VARCHAR) FROM judged
+        UNION ALL SELECT 4, 'low_quality', CAST(count(*) FILTER (reject_reason = 'low_quality') AS VARCHAR) FROM judged
+        UNION ALL SELECT 5, 'total', CAST(count(*) AS VARCHAR) FROM judged UNION ALL SELECT 6, 'transcripts', '0'"""),
+    "nonunique_reject_summary": sql("""SELECT contig, count(*) AS total, count(*) FILTER (reason = 'duplicate') AS duplicate, count(*) FILTER (reason = 'unmapped') AS unmapped,
+        count(*) FILTER (reason = 'multimapped') AS multimapped, count(*) FILTER (reason = 'low_quality') AS low_quality,
+        count(*) FILTER (reason IS NULL AND strand = 0) AS passing_forward, count(*) FILTER (reason IS NULL AND strand = 1) AS passing_reverse
+        FROM (SELECT *, CASE WHEN reject_reason <> 'multimapped' THEN reject_reason WHEN mapq < 1 THEN 'low_quality' END AS reason FROM judged) t GROUP BY contig"""),
+    "distinct_gene_assignment": sql("SELECT contig, strand, pos, cigar, n, status, gene_id FROM distinct_read_status"),
     "reverse_strand_counts": sql("""SELECT g.contig, g.strand, g.gene_id, g.start, g.stop, CAST((SELECT coalesce(sum(c.n), 0) FROM counted c WHERE c.contig = g.contig AND c.strand = 1 - g.strand
         AND c.pos BETWEEN g.start AND g.stop) AS BIGINT) AS reads FROM genes g"""),
     "closest_interval": sql("""SELECT DISTINCT c.contig, c.strand, c.pos, (SELECT arg_min(g.gene_id, (g.start, g.stop, g.gene_id)) FROM genes g

@@ -17,6 +17,8 @@ from peakweave.sources.shared import materialise
 
 CONFIG = Config()
 DENSE = Config(density_threshold=0.2)
+#: No cluster holds so many reads, so that every read of a run is assigned by itself.
+UNSEARCHED = 2**31 - 1
 CLUSTER = linking.CLUSTER
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +58,11 @@ def read_reject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.reject_summary(derived.reads(spark, sf_dir), CONFIG)
 
 
+def nonunique_reject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where reads of several hits are let in."""
+    return reads.reject_summary(derived.reads(spark, sf_dir), Config(nonunique_alignments=True))
+
+
 def contig_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derived.reads(spark, sf_dir)
     return reads.contigs(found).join(found.groupBy("contig").agg(F.count(F.lit(1)).alias("reads")), "contig")
@@ -182,6 +189,12 @@ def read_gene_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("contig", "strand", "pos", "cigar", "n", "status", F.col("gene.gene_id").alias("gene_id"))
 
 
+def distinct_gene_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads by the one best gene, however many of their blocks it holds."""
+    found = assign.assign_reads(_written_blocks(spark, sf_dir), _exons(spark, sf_dir), Config(count_distinct_genes=True))
+    return found.select("contig", "strand", "pos", "cigar", "n", "status", F.col("gene.gene_id").alias("gene_id"))
+
+
 def read_status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_gene_assignment(spark, sf_dir).groupBy("contig", "status").agg(F.sum("n").alias("reads"))
 
@@ -226,12 +239,38 @@ def gtf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.gtf_rows(_transcripts(spark, sf_dir), CONFIG)
 
 
-def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return pipeline.counted(derived.reads(spark, sf_dir), annotation.parsed(_gtf_lines(spark, sf_dir), CONFIG), CONFIG)
+def _counted(spark: SparkSession, sf_dir: str, config: Config = CONFIG) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return pipeline.counted(derived.reads(spark, sf_dir), annotation.parsed(_gtf_lines(spark, sf_dir), config), config)
+
+
+def _run_counts(spark: SparkSession, sf_dir: str, config: Config) -> DataFrame:
+    return _counted(spark, sf_dir, config)[1].select("contig", "strand", "gene_id", F.round("reads", 6).alias("reads"))
 
 
 def full_pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(spark, sf_dir)[1].select("contig", "strand", "gene_id", F.round("reads", 6).alias("reads"))
+    return _run_counts(spark, sf_dir, CONFIG)
+
+
+def reverse_pipeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_counts(spark, sf_dir, Config(strandedness="reverse"))
+
+
+def unsearched_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gene counts of a whole run in which every read stands alone."""
+    return _run_counts(spark, sf_dir, Config(min_count=UNSEARCHED))
+
+
+def unsearched_reverse_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_counts(spark, sf_dir, Config(min_count=UNSEARCHED, strandedness="reverse"))
+
+
+def unsearched_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.summary_rows(_counted(spark, sf_dir, Config(min_count=UNSEARCHED))[2])
+
+
+def high_count_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run in which some clusters are searched for transcripts and the reads of the others stand alone."""
+    return sinks.summary_rows(_counted(spark, sf_dir, Config(min_count=600))[2])
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +284,7 @@ QUERIES: dict[str, Query] = {
         dbscan_labels_left, dbscan_labels_right, dbscan_regions_left, dbscan_regions_right, peak_paths, peak_coordinates, mirror_intervals,
         path_gene_overlap, path_gene_assignment, ratio_allocation, gene_exon_union, gene_extents, annotation_lines, feature_count, strand_interleave,
         read_gene_assignment, read_status_totals, gene_read_counts, reverse_strand_counts, closest_interval, event_sessions, transcript_chains,
-        gtf_rows, full_pipeline_counts, run_summary,
+        gtf_rows, full_pipeline_counts, run_summary, reverse_pipeline_counts, high_count_run_summary, unsearched_run_counts, unsearched_reverse_run_counts,
+        unsearched_run_summary, distinct_gene_assignment, nonunique_reject_summary,
     )
 }

@@ -1,6 +1,6 @@
 """BAM as a Spark data source: ``spark.dataSource.register(BamSource); spark.read.format("bam").load(path)``.
 
-The file's index (``path`` + ``.bai``) cuts each contig into ranges of virtual
+The path is a file, a folder, or a pattern in the last part of its name. Each file's index (``path`` + ``.bai``) cuts each contig into ranges of virtual
 offsets, so that a file is read by many tasks and a contig filter reads that
 contig's ranges only. Give the option ``contig`` to read one, ``order`` =
 ``coordinate`` to insist on a sorted file, and ``split_bytes`` for the size of
@@ -9,29 +9,66 @@ a range. Files are opened with Arrow's file systems.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatchcase
+from itertools import batched
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from peakweave.schemas import READS
+from peakweave.schemas import CONTIGS, READS
 from peakweave.sources.sam import require_sorted
 
 OPERATIONS = "MIDNSHP=X"
 SPLIT_BYTES = 32 << 20
+#: Reads of an Arrow batch.
+BATCH_ROWS = 8192
+_ARROW = pa.schema([(n, pa.string() if t == "string" else pa.int32()) for n, t in (c.split() for c in READS.split(", "))])
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def _opened(path: str):
-    if "://" not in path:
-        return fs.LocalFileSystem().open_input_file(path)
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = _store(path)
     return store.open_input_file(name)
 
 
+def files_of(path: str) -> list[str]:
+    """The BAM files of a file's name, a folder, or a pattern in the last part of a name, by name."""
+    folder, _, last = path.rpartition("/")
+    pattern = any(c in last for c in "*?[")
+    store, name = _store((folder or ".") if pattern else path)
+    if not pattern and store.get_file_info(name).type != fs.FileType.Directory:
+        if not path.endswith(".bam"):
+            raise ValueError(f"{path}: not a .bam file")
+        return [path]
+    base = ((folder or ".") if pattern else path).rstrip("/")
+    names = [f.base_name for f in store.get_file_info(fs.FileSelector(name)) if f.type == fs.FileType.File]
+    found = sorted(n for n in names if n.endswith(".bam") and (not pattern or fnmatchcase(n, last)))
+    if not found:
+        raise ValueError(f"{path}: no .bam file")
+    return [f"{base}/{n}" for n in found]
+
+
+def contigs(spark: SparkSession, path: str) -> DataFrame:
+    """``contig_index, contig, length`` of the references in the header; of several files, which must agree in them."""
+    found = None
+    for name in files_of(path):
+        with _opened(name) as f:
+            own = read_header(Blocks(f))[1]
+        if found not in (None, own):
+            raise ValueError(f"{name}: other contigs than the files before it")
+        found = own
+    return spark.createDataFrame(found, CONTIGS)
+
+
 class Blocks:
     """The bytes of a blocked gzip file from a virtual offset on: the place of a block in the file, and a place in what it holds."""
 
@@ -147,42 +184,44 @@ def read_records(blocks: Blocks, stop: int, names: list[str]) -> Iterator[tuple]
 
 @dataclass
 class Range(InputPartition):
+    path: str
     start: int
     stop: int
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options.get("path", "")
-        if not re.search(r"\.bam$", self.path):
-            raise ValueError(f"{self.path}: not a .bam file")
+        self.paths = files_of(options.get("path", ""))
         self.contig, self.order, self.split = options.get("contig"), options.get("order"), int(options.get("split_bytes", SPLIT_BYTES))
 
-    def partitions(self) -> list[Range]:
-        with _opened(self.path) as f:
+    def _ranges(self, path: str) -> Iterator[Range]:
+        with _opened(path) as f:
             header, contigs = read_header(Blocks(f))
         if self.order == "coordinate":
             require_sorted(header)
-        with _opened(self.path + ".bai") as f:
+        with _opened(path + ".bai") as f:
             index = read_index(f.read())
-        out = []
         for (_, name, _), (low, high, linear) in zip(contigs, index, strict=True):
             if not high or self.contig not in (None, name):
                 continue
             start = low
             for place in sorted(set(linear)):
                 if place > start and (place >> 16) - (start >> 16) >= self.split:
-                    out.append(Range(start, place))
+                    yield Range(path, start, place)
                     start = place
-            out.append(Range(start, high))
-        return out or [Range(0, 0)]
+            yield Range(path, start, high)
+
+    def partitions(self) -> list[Range]:
+        return [r for path in self.paths for r in self._ranges(path)] or [Range("", 0, 0)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.stop:
             return
-        with _opened(self.path) as f:
+        with _opened(partition.path) as f:
             names = [name for _, name, _ in read_header(Blocks(f))[1]]
-            yield from read_records(Blocks(f, partition.start), partition.stop, names)
+            for rows in batched(read_records(Blocks(f, partition.start), partition.stop, names), BATCH_ROWS):
+                columns = [pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), _ARROW, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
 class BamSource(DataSource):

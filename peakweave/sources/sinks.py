@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakweave.config import Config
+from peakweave.sources.shared import write_text_file
 
 HEADER = ("##description: transcripts found by density of aligned 3' ends", "##provider: peakweave", "##format: gtf", "##parameters: {parameters}")
 GTF_COLUMNS = ("seqname", "source", "feature", "start", "stop", "score", "strand", "frame", "attributes")
@@ -55,8 +56,8 @@ def gtf_lines(rows: DataFrame, config: Config) -> DataFrame:
 
 
 def write_gtf(rows: DataFrame, path: str, config: Config) -> None:
-    """A directory of text whose parts, in the order of their names, are the file."""
-    gtf_lines(rows, config).write.mode("overwrite").text(path)
+    """One GTF file."""
+    write_text_file(gtf_lines(rows, config), path)
 
 
 def cluster_lines(clusters: DataFrame) -> DataFrame:

@@ -73,6 +73,15 @@ def test_bam_in_one_range_or_many(spark, tmp_path):
     assert cut.rdd.getNumPartitions() > 4 and _got(cut) == _want()
     one = spark.read.format("bam").option("contig", "chr2").load(str(path))
     assert _got(one) == _want([r for r in ROWS if r[0] == 1])
+    assert [tuple(r) for r in bam.contigs(spark, str(path)).collect()] == [(k, *c) for k, c in enumerate(CONTIGS)]
+    _write_bam(tmp_path / "b.bam")
+    for several in (str(tmp_path), f"{tmp_path}/*.bam"):
+        assert bam.files_of(several) == [f"{tmp_path}/a.bam", f"{tmp_path}/b.bam"]
+        assert _got(spark.read.format("bam").load(several)) == sorted(2 * _want())
+    assert bam.files_of(f"{tmp_path}/b*") == [f"{tmp_path}/b.bam"] and bam.contigs(spark, str(tmp_path)).count() == 2
+    for none in (f"{tmp_path}/c*", f"{tmp_path}/a.sam"):
+        with pytest.raises(ValueError, match="bam"):
+            bam.files_of(none)
     _write_bam(path, order="unsorted")
     with pytest.raises(Exception, match="SO:unsorted"):
         spark.read.format("bam").option("order", "coordinate").load(str(path)).collect()
@@ -107,6 +116,9 @@ def test_command_line_end_to_end(spark, tmp_path):
     summary = {r.metric: r.value for r in cli.run(spark, args.reads, cli.config_of(args)).collect()}
     assert summary["total"] == "450" and float(summary["assigned"]) > 100
     assert spark.read.text(f"{tmp_path}/out.counts").count() == 2 and spark.read.text(f"{tmp_path}/out").count() > 7
+    assert (tmp_path / "out").is_file() and (tmp_path / "out.counts").read_text().count("\n") == 2 and not list(tmp_path.glob("*.parts-*"))
+    cli.run(spark, args.reads, cli.config_of(args))  # an earlier output is replaced
+    assert (tmp_path / "out").read_text().startswith("##")
     assert cli.config_of(cli.parser().parse_args(["x.bam"])).output_gtf == "x.bam.gtf"
     assert cli.main([str(tmp_path / "a.sam"), "-a", "genes.txt"]) == 1
 
