@@ -9,8 +9,9 @@ Pairs that meet are verified by their Hamming distance.
 Documents of one fingerprint count as one. Links leave a bucket as stars, never
 as all pairs, and a hot bucket is compared tile by tile.
 
-``similar_documents`` asks for the exact similarity of shingles instead. Its
-candidates share one of the rarest shingles of their sets, and wide
+``similar_documents`` takes these close pairs, verifies them by the exact
+similarity of their shingles, and then finds those similar pairs that lie
+further apart: they share one of the rarest shingles of their sets, and wide
 fingerprints spare comparisons in crowded buckets.
 """
 
@@ -169,7 +170,7 @@ def _own(hashes: np.ndarray) -> int:
 
 
 def shingle_prints(texts: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """``(doc_id, row, own, n, lo, hi)`` for each row: a hash of its set, the set's size and fingerprint.
+    """``(doc_id, row, own, n, lo, hi, fp)`` for each row: a hash of its set, the set's size and fingerprint, and the text's ``fingerprint``.
 
     Further rows, of null ``n``, tell how many sets of a stretch of rows hold a shingle, ``(own, seen)``, where they are
     ``SEEN`` or more; these sums are a lower bound of what is common.
@@ -179,7 +180,7 @@ def shingle_prints(texts: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
         tokens, times = np.unique(np.concatenate(sets), return_counts=True)
         often = times >= SEEN
         none = pa.nulls(int(often.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(tokens[often]), none, none, none, pa.array(times[often])], names)
+        return pa.RecordBatch.from_arrays([none, none, pa.array(tokens[often]), none, none, none, none, pa.array(times[often])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -189,18 +190,19 @@ def shingle_prints(texts: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
             for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 hashes, low, high = shingle_set(text.as_py(), shingle)
                 own = _own(hashes)
-                rows.append((doc, row, own, len(hashes), low, high, None))
+                close = int(np.uint64(fingerprint(text.as_py())).view(np.int64))
+                rows.append((doc, row, own, len(hashes), low, high, close, None))
                 if own not in sets:
                     sets[own] = hashes
                     held += len(hashes)
                 if held > _STRETCH:
                     yield told(list(sets.values()))
                     sets, held = {}, 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names) if rows else pa.RecordBatch.from_arrays([pa.nulls(0, pa.int64())] * 7, names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names) if rows else pa.RecordBatch.from_arrays([pa.nulls(0, pa.int64())] * 8, names)
         if sets:
             yield told(list(sets.values()))
 
-    names = ["doc_id", "row", "own", "n", "lo", "hi", "seen"]
+    names = ["doc_id", "row", "own", "n", "lo", "hi", "fp", "seen"]
     return mapped(texts, run, ", ".join(f"{c} long" for c in names))
 
 
@@ -341,6 +343,18 @@ def _sketched(similarity: float):
     return work
 
 
+def _close_sets(prints: DataFrame) -> DataFrame:
+    """``(a, b)``: sets of texts whose fingerprints are equal or, by the tables of blocks, close. prints: ``own, fp``; one set can have several.
+
+    Texts of one fingerprint and hot buckets give stars, so that a close pair is here or joined by others.
+    """
+    fps = prints.select("own", "fp").distinct()
+    groups = materialise(fps.groupBy("fp").agg(F.min("own").alias("rep")), "fingerprints")
+    equal = fps.join(groups, "fp").select(F.col("own").alias("a"), F.col("rep").alias("b"))
+    found = near_links(groups).unionByName(equal).where("a <> b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Of distinct pairs ``(a, b)`` of sets with ``rep_`` and ``row_`` of each, those of enough similarity, by the sets themselves."""
     sides = [pairs.select(F.col(x).alias("own"), F.col(f"rep_{x}").alias("rep"), F.col(f"row_{x}").alias("row")) for x in ("a", "b")]
@@ -354,10 +368,11 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: ``doc_id, row, component_id`` (row is a hash of its text), linked by a similarity (common shingles by all, repeats aside) of at least ``similarity``.
 
-    Every such pair shares a shingle of the prefixes of its sets, and every link is verified by the sets. A first round
-    compares each set of a bucket with one of them, another for each bucket. What it links is not compared again when a
-    second round compares the rest: pair by pair in small buckets, in large ones by sketches, tile by tile, so that a
-    large family gives links but not pairs. Rules as in near_duplicates.
+    A first round compares the pairs whose SimHash fingerprints are close. Not every similar pair is, but every one shares
+    a shingle of the prefixes of its sets, so the first round also compares each set of such a bucket with one of them,
+    another for each bucket. What it links is not compared again when a second round compares the rest: pair by pair in
+    small buckets, in large ones by sketches, tile by tile, so that a large family gives links but not pairs. Every link is
+    verified by the sets. Rules as in near_duplicates.
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity lies between 0 and 1")
@@ -383,7 +398,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hubs = shared.where("own <> hub").select(F.least("own", "hub").alias("a"), F.greatest("own", "hub").alias("b")).distinct()
     apart = F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b"))) + F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b")))
     alike = (apart <= WIDE_RADIUS) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
-    pairs = materialise(with_both(hubs).where(alike).select(ends), "pairs")
+    close = _close_sets(prints.where("doc_id IS NOT NULL"))
+    pairs = materialise(with_both(hubs.unionByName(close).distinct()).where(alike).select(ends), "pairs")
     found = connected_components(_similar(pairs, texts, similarity, shingle), "rep_a", "rep_b")
 
     rows = shared.where("sharing > 2").join(about, "own").join(found.withColumnRenamed("node", "rep"), "rep", "left")

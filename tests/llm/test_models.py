@@ -124,6 +124,20 @@ def test_one_of_each_tells_rows_of_an_id_apart(spark):
     assert simhash.one_of_each(_docs(spark, [])).count() == 0
 
 
+def test_one_of_each_takes_close_fingerprints_and_verifies_them(spark, monkeypatch):
+    """Without a shared rare shingle to go by, copies are found by the blocks of their fingerprints; close ones that aren't similar stay."""
+    rows, spam = [], "again " * 400
+    for k in range(30):
+        base = _text(random.Random(60 + k), 300)
+        rows += [(2 * k, base), (2 * k + 1, base + " more")]
+    rows += [(100 + k, spam + _text(random.Random(k), 60)) for k in range(3)]
+    apart = {i: (_fingerprint(dict(rows)[i]) ^ _fingerprint(dict(rows)[i + 1])).bit_count() for i in range(0, 60, 2)}
+    assert _fingerprint(rows[-1][1]) == _fingerprint(rows[-2][1]) and sum(0 < d <= 3 for d in apart.values()) > 10
+    monkeypatch.setattr(simhash, "_prefix_keys", lambda texts, reps, *how: reps.selectExpr("own", "own AS key").limit(0))
+    kept = sorted(r.doc_id for r in simhash.one_of_each(_docs(spark, rows)).collect())
+    assert kept == sorted([*apart, *(i + 1 for i, d in apart.items() if d > 3), 100, 101, 102])
+
+
 def _similar_equal_brute_force(spark, rows):
     got = {(r.doc_id, r.component_id) for r in simhash.similar_documents(_docs(spark, rows)).collect()}
     texts = dict(rows)
