@@ -324,6 +324,18 @@ def test_interval_union_equals_a_model(spark):
         assert got[k] == want
 
 
+def test_exon_union_of_equal_lines_in_any_order(spark):
+    """Equal lines are ties of the windows: neither their number nor their order may move one to another run."""
+    rng = random.Random(7)
+    lines = [("chr1", 0, "g", a, a + 80) for a in (100, 100, 150, 300, 381, 381, 500) for _ in range(20)]
+    want = [(100, 230), (300, 380), (381, 461), (500, 580)]
+    for parts in (1, 3, 7):
+        rng.shuffle(lines)
+        numbered = [(*line, i) for i, line in enumerate(lines)]
+        df = spark.createDataFrame(numbered, "contig string, strand int, gene_id string, start int, stop int, line_no int").repartition(parts)
+        assert sorted((r.start, r.stop) for r in genes.exon_union(df).collect()) == want
+
+
 def test_interval_join_equals_nested_loops_for_any_bin(spark):
     rng = random.Random(6)
     left = [(k, a, a + rng.randrange(40)) for k in range(2) for a in (rng.randrange(500) for _ in range(40))]
